@@ -1 +1 @@
-"""See the module docstrings."""
+"""Column functions: text, codes, instructions, scores and vectors."""

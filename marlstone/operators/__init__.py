@@ -1 +1 @@
-"""See the module docstrings."""
+"""Operators on DataFrames: normalising, hierarchy, validation, retrieval, coding, evaluation, life cycle."""
