@@ -22,10 +22,11 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     for point in range(0x80, 0x10000):
         c = chr(point)
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if base != c and base.isascii() and any(x.isalnum() for x in base):
+        base = "".join(x if x.isascii() else " " for x in base) if base != c else c
+        if base != c and any(x.isalnum() for x in base):
             if len(base) == 1:
                 single[c] = base
-            elif point < 0x250 or 0xFB00 <= point <= 0xFB06:
+            else:
                 several.append((c, base))
     return "".join(single), "".join(single.values()), tuple(several)
 
@@ -33,13 +34,15 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def strip_accents(text: Column) -> Column:
     """Compatibility decomposition without combining marks, for letters that become ASCII.
 
-    What decomposes to other scripts stays as it is; :func:`normalize_text` blanks it either way.
+    What decomposes to other scripts stays as it is, and a part that is not ASCII becomes a blank;
+    :func:`normalize_text` blanks both anyway.
     """
     sources, targets, several = _folds()
     out = F.regexp_replace(F.translate(text, sources, targets), r"\p{Mn}+", "")
-    for c, base in several:
-        out = F.replace(out, F.lit(c), F.lit(base))
-    return out
+    # ligatures, squared units and the like are rare; only texts that have one are walked
+    pairs = F.split(F.lit("\n".join(c + base for c, base in several)), "\n")
+    spelled = F.aggregate(pairs, out, lambda done, p: F.replace(done, F.substring(p, 1, 1), F.substring(p, F.lit(2), F.length(p))))
+    return F.when(out.rlike("[" + "".join(c for c, _ in several) + "]"), spelled).otherwise(out)
 
 
 def normalize_text(text: Column) -> Column:

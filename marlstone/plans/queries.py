@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, text, vectors
-from ..operators import catalog, evaluate, hierarchy, retrieval
+from ..operators import annotate, catalog, evaluate, hierarchy, retrieval
 from .tables import misspelt, part_nodes, table, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -412,3 +412,11 @@ SELECT user_id, CASE min(k) WHEN 1 THEN 'error' WHEN 2 THEN 'view' ELSE 'click'
 def first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earliest stage that failed."""
     return evaluate.first_failure(table(spark, sf_dir, "events").withColumnRenamed("event_type", "stage"), ["user_id"], ["error", "view", "click"])
+
+
+@query()
+def annotate_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts of every turn of the conversations; scope runs from clause to clause, which SQL cannot express."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000 + F.col("turn")).alias("note_id"), "text")
+    found = annotate.query_variants(annotate.annotate(turns)).withColumn("not_codable", annotate.not_codable())
+    return found.select("note_id", "concept_index", "text", "concept_type", "status", "section", "start", "end", F.size("variants").alias("n_variants"), "not_codable")
