@@ -38,11 +38,22 @@ def strip_accents(text: Column) -> Column:
     :func:`normalize_text` blanks both anyway.
     """
     sources, targets, several = _folds()
-    out = F.regexp_replace(F.translate(text, sources, targets), r"\p{Mn}+", "")
-    # ligatures, squared units and the like are rare; only texts that have one are walked
+    # ligatures, squared units and the like are rare; only texts with a character of their neighbourhoods are walked
     pairs = F.split(F.lit("\n".join(c + base for c, base in several)), "\n")
-    spelled = F.aggregate(pairs, out, lambda done, p: F.replace(done, F.substring(p, 1, 1), F.substring(p, F.lit(2), F.length(p))))
-    return F.when(out.rlike("[" + "".join(c for c, _ in several) + "]"), spelled).otherwise(out)
+    spelled = F.aggregate(pairs, text, lambda done, p: F.replace(done, F.substring(p, 1, 1), F.substring(p, F.lit(2), F.length(p))))
+    whole = F.when(text.rlike(_neighbourhoods("".join(c for c, _ in several))), spelled).otherwise(text)
+    return F.regexp_replace(F.translate(whole, sources, targets), r"\p{Mn}+", "")
+
+
+def _neighbourhoods(characters: str, gap: int = 24) -> str:
+    """A class of few ranges that holds all the characters: a long class of single ones is slow to match."""
+    points, spans = sorted(map(ord, characters)), []
+    for p in points:
+        if spans and p - spans[-1][1] <= gap:
+            spans[-1][1] = p
+        else:
+            spans.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
 
 
 def normalize_text(text: Column) -> Column:

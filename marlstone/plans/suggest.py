@@ -95,6 +95,6 @@ def suggest(notes: DataFrame, nodes: DataFrame, index: DataFrame, terms: DataFra
     rows = rows.withColumns({"rerank": coding.rerank(features), "reason": reason, "condition": F.when(exempt, "exempt").otherwise(F.col("verdict")), "strong": (F.col("exact_terminology") > 0) | F.col("included") | by_term | ((F.col("lexical") >= 0.8) & (F.col("fuzzy") >= 0.8))})
     judged = coding.drop_guesses(cut(rows.drop("place"), "judged"))
     ranked = coding.select_best(judged, top_k).select("note_id", "concept_id", "concept_index", "text", "assertion", "node_id", "code", "category_id", "rerank", "hybrid", "selectable", "strong", "rule_status", F.col("detail.supported").alias("supported"), F.col("detail.missing").alias("missing"), F.col("detail.matched").alias("matched"), "place")
-    ended = coding.verified(coding.resolve(ranked, nodes), nodes)
+    ended = coding.verified(coding.resolve(ranked, nodes, judged.where("detail.supported").select("concept_id", "node_id")), nodes)
     sure = coding.confidence(F.col("rerank"), F.col("strong"), F.size("missing") == 0, F.col("resolution") == "direct", F.col("rule_status") == "passed", F.col("selectable"), F.col("assertion"))
     return ended.withColumn("confidence", sure)
