@@ -17,6 +17,13 @@ stay on the executors.
 Work for n distinct fingerprints is 32 n rows, and comparisons within anchors; with 2^27 anchors a
 billion fingerprints put about 240 in each.
 
+:func:`keep_one` also links documents whose sets of five-word shingles are 0.8 similar or more, as
+far as SimHash tells.  Over 64 bits such documents differ in about 10, which anchors cannot cover: each
+fingerprint would have over a thousand.  So it takes a fingerprint of 1,024 bits of the set of shingles,
+links at ``WIDE_THRESHOLD`` differing bits (the expected number at 0.8; one deviation, 11 bits, is 0.025 of
+similarity), and lets documents meet where one of ``BANDS`` bands of ``BAND`` smallest hashes is equal:
+0.995 of the pairs at 0.8, and more above.  Bands take the place of anchors there; all else is the same.
+
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links like any
 other; a text under ``SHINGLE`` words is one shingle; a component is named by its smallest id (null if
 it has none); repeated rows and ids are members like others; columns besides those asked for are not
@@ -25,7 +32,7 @@ carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +47,11 @@ from .batches import lower_words, slices
 SHINGLE = 3
 SEED = 42
 THRESHOLD = 3
+#: Shingles of the 1024-bit fingerprints, in words; their bits in words of 64; differing bits at similarity 0.8
+#: (cosine 0.889 of sets of equal size, an angle of 0.1515 of a half turn).
+WIDE_SHINGLE, WIDE, WIDE_THRESHOLD = 5, 16, 155
+#: Bands of smallest hashes, and hashes in each.
+BANDS, BAND = 10, 4
 #: Members of an anchor that are compared with another such number at a time.
 CHUNK = 1024
 #: Rounds of star contraction after which something is wrong.
@@ -47,35 +59,80 @@ MAX_ROUNDS = 60
 
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANE = (np.arange(8) * 256).astype(np.int64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND + WIDE, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def fingerprint(words: Sequence[bytes], shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of the word shingles, as an unsigned number."""
+def shingle_hashes(words: Sequence[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole where there are fewer words; none without words."""
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     text = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([digest(text, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
-        hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
+        return np.array([digest(text, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
+    return np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes; 0 without hashes."""
     lanes = hashes.view(np.uint8).reshape(-1, 8) + _LANE
     sums = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BIT
     return int(np.packbits(sums.ravel() * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(words: Sequence[bytes], shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of the word shingles, as an unsigned number."""
+    return majority(shingle_hashes(words, shingle))
+
+
+def sketch(words: Sequence[bytes]) -> tuple[int, bytes, list[int]]:
+    """64-bit fingerprint of the five-word shingles; 1024-bit fingerprint of their set; its bands (none without words)."""
+    hashes = shingle_hashes(words, WIDE_SHINGLE)
+    own = np.unique(hashes)
+    if not len(own):
+        return 0, bytes(8 * WIDE), []
+    wide = np.empty(WIDE, np.uint64)
+    for i, odd in enumerate(_ODD[:WIDE]):
+        mixed = (own ^ (own >> np.uint64(31))) * odd
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
+        wide[i] = majority(mixed ^ (mixed >> np.uint64(32)))
+    least = [int((own * odd).min()) for odd in _ODD[WIDE:]]
+    bands = [xxhash.xxh64_intdigest(np.array(least[i * BAND : (i + 1) * BAND], np.uint64).tobytes(), i) for i in range(BANDS)]
+    return majority(hashes), wide.tobytes(), bands
+
+
 def fingerprints(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns and ``fp`` (the fingerprint as a signed long) of every row."""
+    return _marked(documents, text, carry, [T.StructField("fp", T.LongType())], lambda texts: [_signed([fingerprint(lower_words(x)) for x in texts])])
+
+
+def sketches(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns, ``fp`` of five-word shingles, ``wide`` (the 1024-bit fingerprint) and ``bands`` of every row."""
+
+    def mark(texts: list[str | None]) -> list[pa.Array]:
+        fps, wide, bands = zip(*(sketch(lower_words(x)) for x in texts), strict=True) if texts else ((), (), ())
+        offsets = np.cumsum([0, *map(len, bands)])
+        return [_signed(fps), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed([x for b in bands for x in b]))]
+
+    return _marked(documents, text, carry, [T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))], mark)
+
+
+def _signed(values: Sequence[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _marked(documents: DataFrame, text: str, carry: Sequence[str], added: list[T.StructField], mark: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """The ``carry`` columns and those that ``mark`` makes of the texts."""
     kept = [documents.schema[c] for c in carry]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), T.StructField("fp", T.LongType())])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), *added])
     n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            found = np.fromiter((fingerprint(lower_words(x)) for x in batch.column(n).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found.view(np.int64))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *mark(batch.column(n).to_pylist())], names=schema.names)
 
     return documents.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -143,13 +200,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-def compare(groups: np.ndarray, fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links within runs of equal ``groups``."""
+def compare(groups: np.ndarray, fps: np.ndarray, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links within runs of equal ``groups``; with ``wide`` (rows of words) by these."""
     none = np.empty(0, np.int64)
+    words, threshold = (fps.view(np.uint64)[:, None], THRESHOLD) if wide is None else (wide, WIDE_THRESHOLD)
     a, b, held = [], [], 0
     at, step = np.arange(len(fps)), 1
     while len(at := at[at + step < len(fps)]) and len(at := at[groups[at] == groups[at + step]]):
-        close = np.bitwise_count((fps[at] ^ fps[at + step]).view(np.uint64)) <= threshold
+        close = np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1, dtype=np.int64) <= threshold
         hit = at[close]
         a.append(fps[hit])
         b.append(fps[hit + step])
@@ -163,31 +221,44 @@ def compare(groups: np.ndarray, fps: np.ndarray, threshold: int = THRESHOLD) ->
 
 def links(distinct: DataFrame) -> DataFrame:
     """``child`` and ``root``: links with the components of all pairs of fingerprints within the threshold."""
-    all_replicas = replicas(distinct)
+    return meet(replicas(distinct))
+
+
+def wide_links(distinct: DataFrame) -> DataFrame:
+    """As :func:`links` for ``fp``, ``wide`` and ``bands``: pairs that share a band and whose wide fingerprints are within the threshold."""
+    return meet(distinct.select(F.explode("bands").alias("anchor"), "fp", "wide"))
+
+
+def meet(all_replicas: DataFrame) -> DataFrame:
+    """``child`` and ``root`` of the links within each ``anchor`` of ``all_replicas``, which has ``fp`` and perhaps ``wide``."""
+    wide = [c for c in all_replicas.columns if c == "wide"]
     hot = all_replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
     hot = cut(hot.select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "anchors")
     parts = F.coalesce(F.col("parts"), F.lit(1))
     own = F.when(parts > 1, F.pmod(F.xxhash64("fp"), parts)).otherwise(F.lit(0)).cast("int")
-    tagged = all_replicas.join(hot, "anchor", "left").select("anchor", "fp", own.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q"))
-    dealt = tagged.select("anchor", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "fp")
+    tagged = all_replicas.join(hot, "anchor", "left").select("anchor", "fp", *wide, own.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q"))
+    dealt = tagged.select("anchor", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "fp", *wide)
     keys = ["anchor", "i", "j"]
 
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        numbers = [c.to_numpy().astype(np.int64) for c in batch.columns[:4]]
+        return numbers + [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, WIDE) for c in batch.columns[4:]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 4  # of the group that may go on in the next batch
+        rest: list[np.ndarray] = []  # of the group that may go on in the next batch
         for batch in batches:
-            columns = [np.concatenate((r, c.to_numpy().astype(np.int64))) for r, c in zip(rest, batch.columns, strict=True)]
-            if not len(columns[0]):
+            if not batch.num_rows:
                 continue
+            columns = [np.concatenate(x) for x in zip(rest, arrays(batch), strict=True)] if rest else arrays(batch)
             new = np.ones(len(columns[0]), bool)
             new[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
             last = int(np.flatnonzero(new)[-1])
-            if last == 0:
-                rest = columns
-                continue
             group = np.cumsum(new)
             rest = [c[last:] for c in columns]
-            yield from found(*compare(group[:last], columns[3][:last]))
-        yield from found(*compare(np.zeros(len(rest[3]), np.int64), rest[3]))
+            if last:
+                yield from found(*compare(group[:last], *(c[:last] for c in columns[3:])))
+        if rest:
+            yield from found(*compare(np.zeros(len(rest[3]), np.int64), *rest[3:]))
 
     def found(child: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(child):
@@ -222,9 +293,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(marked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``fp``, ``root`` (a fingerprint that names the component) and ``component_id`` for each fingerprint of ``marked`` (key, fp)."""
+    """``fp``, ``root`` (a fingerprint that names the component) and ``component_id`` for each fingerprint of ``marked`` (key, fp, perhaps wide and bands)."""
     nodes = cut(marked.groupBy("fp").agg(F.min(key).alias("_least")), "fingerprints")
-    roots = components(links(nodes))
+    edges = links(nodes)
+    if "wide" in marked.columns:
+        edges = edges.unionByName(wide_links(cut(marked.select("fp", "wide", "bands").dropDuplicates(["fp", "wide"]), "wide")))
+    roots = components(edges)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
     named = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
     return placed.select("fp", "root").join(named, "root")
@@ -237,9 +311,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``documents`` with one row of each component: the one with the smallest id, then text hash."""
+    """The rows of ``documents`` with one row of each component of near copies, five-word shingles 0.8 similar: the one with the smallest id, then text hash."""
     hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
-    marked = cut(fingerprints(documents.withColumn("_hash", hashed), text, [key, "_hash"]), "documents")
+    marked = cut(sketches(documents.withColumn("_hash", hashed), text, [key, "_hash"]), "documents")
     rooted = marked.join(groups(marked, key).select("fp", "root"), "fp")
     first = F.min(F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.col("_hash").alias("hash"))).alias("first")
     chosen = rooted.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_h"))

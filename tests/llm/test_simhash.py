@@ -16,7 +16,16 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(members):
+def near(a, b):
+    return (a ^ b).bit_count() <= 3
+
+
+def wide_near(a, b):
+    """Of sketches: 64-bit fingerprints near, or a band shared and 1024-bit fingerprints near."""
+    return near(a[0], b[0]) or bool(set(a[2]) & set(b[2])) and (int.from_bytes(a[1]) ^ int.from_bytes(b[1])).bit_count() <= 155
+
+
+def brute_components(members, near=near):
     """members: (id, fingerprint) -> smallest id of each one's component."""
     parent = list(range(len(members)))
 
@@ -27,7 +36,7 @@ def brute_components(members):
 
     for i, (_, a) in enumerate(members):
         for j in range(i):
-            if (a ^ members[j][1]).bit_count() <= 3:
+            if near(a, members[j][1]):
                 parent[find(i)] = find(j)
     least = {}
     for i, (key, _) in enumerate(members):
@@ -116,12 +125,68 @@ def test_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     members = [(r["doc_id"], slow_fingerprint(r["text"])) for r in odd.collect()]
     want = dict(zip((m[1] for m in members), brute_components(members), strict=True))
+    texts = {" ".join((r["text"] or "").lower().split()) for r in odd.collect()}
     assert len(rows) == len(members) and all(r["component_id"] == want[r["fp"] & MASK] for r in rows)
     kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and kept.count() == len(set(want.values()))
+    assert kept.columns == odd.columns and kept.count() == len(texts)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
 def test_equal_ids_with_other_texts(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "epsilon zeta eta theta"), (2, "alpha beta gamma delta"), (None, "x y z w")], "doc_id long, text string")
     assert simhash.keep_one(docs).count() == 3
+
+
+def shingle_set(text):
+    words = lower_words(text)
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@given(st.lists(st.sampled_from([b"a", b"b", b"cc"]), max_size=40))
+@settings(max_examples=100, deadline=None)
+def test_sketch(words):
+    fp, wide, bands = simhash.sketch(words)
+    assert fp == simhash.fingerprint(words, 5) and len(wide) == 128 and len(bands) == (10 if words else 0)
+    assert simhash.sketch(list(words)) == (fp, wide, bands)
+    if not words:
+        assert fp == 0 and not any(wide)
+
+
+def copies(n, seed):
+    """Pairs of texts with some words changed, and the similarity of their sets of shingles."""
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 900)))]
+        other = list(words)
+        for at in rng.integers(0, len(words), max(1, int(len(words) * rng.uniform(0, 0.12)))).tolist():
+            other[at] = "changed" + str(at)
+        a, b = " ".join(words), " ".join(other)
+        yield a, b, len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+
+
+def test_similar_sets_link_and_others_do_not():
+    found = [(s, wide_near(simhash.sketch(lower_words(a)), simhash.sketch(lower_words(b)))) for a, b, s in copies(400, 5)]
+    sure = [hit for s, hit in found if s >= 0.88]
+    close = [hit for s, hit in found if s >= 0.8]
+    assert len(sure) > 30 and sum(sure) / len(sure) >= 0.98 and sum(close) / len(close) >= 0.85
+    assert not any(hit for s, hit in found if s < 0.7)
+
+
+def test_keep_one_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)  # bands of the large group are dealt in chunks
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        words[i * 9] = "changed"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {0, *range(40, 45)}
+
+
+def test_keep_one_against_brute_force(spark, sf_dir):
+    docs = queries.documents(spark, sf_dir)
+    members = [(r["doc_id"], simhash.sketch(lower_words(r["text"]))) for r in docs.orderBy("doc_id").collect()]
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(brute_components(members, wide_near))
