@@ -274,7 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # large star: each node gives its larger neighbours the smallest of itself and its neighbours
         both = now.select(F.col("child").alias("u"), F.col("root").alias("v")).unionByName(now.select(F.col("root").alias("u"), F.col("child").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a written table, so that neither side of the join has its dealing from the aggregate and AQE can split the centre of a large star
+        least, least_path = cut_at(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("child"), F.col("m").alias("root"))
         # small star: each node links itself and its smaller neighbours to the smallest of these
         large = large.where("child <> root").distinct()
@@ -286,6 +287,7 @@ def components(edges: DataFrame) -> DataFrame:
         roots = then.select(F.col("root").alias("child")).distinct()
         done = then.join(roots, "child", "left_semi").limit(1).count() == 0 and then.groupBy("child").count().where("count > 1").limit(1).count() == 0
         drop(spark, path)
+        drop(spark, least_path)
         now, path = then, next_path
         if done:
             return now.select(F.col("child").alias("node"), "root")
@@ -300,7 +302,7 @@ def groups(marked: DataFrame, key: str = "doc_id") -> DataFrame:
         edges = edges.unionByName(wide_links(cut(marked.select("fp", "wide", "bands").dropDuplicates(["fp", "wide"]), "wide")))
     roots = components(edges)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
-    named = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
+    named = cut(placed.groupBy("root").agg(F.min("_least").alias("component_id")), "components")
     return placed.select("fp", "root").join(named, "root")
 
 
