@@ -17,12 +17,17 @@ stay on the executors.
 Work for n distinct fingerprints is 32 n rows, and comparisons within anchors; with 2^27 anchors a
 billion fingerprints put about 240 in each.
 
-:func:`keep_one` also links documents whose sets of five-word shingles are 0.8 similar or more, as
-far as SimHash tells.  Over 64 bits such documents differ in about 10, which anchors cannot cover: each
-fingerprint would have over a thousand.  So it takes a fingerprint of 1,024 bits of the set of shingles,
-links at ``WIDE_THRESHOLD`` differing bits (the expected number at 0.8; one deviation, 11 bits, is 0.025 of
-similarity), and lets documents meet where one of ``BANDS`` bands of ``BAND`` smallest hashes is equal:
-0.995 of the pairs at 0.8, and more above.  Bands take the place of anchors there; all else is the same.
+:func:`keep_one` links documents whose sets of five-word shingles have a Jaccard similarity of
+``SIMILAR`` or more.  Over 64 bits such documents differ in about 10, which anchors cannot cover: each
+fingerprint would have over a thousand.  So beside the anchors, fingerprints of 1,024 bits of the sets
+meet where one of ``BANDS`` bands of ``BAND`` smallest hashes is equal (0.995 of the pairs at 0.8, more
+above).  At ``WIDE_THRESHOLD`` differing bits, well beyond the 155 expected at 0.8 (one deviation, 11
+bits, is 0.025 of similarity), a pair is a candidate.  Candidates do not count until the texts have been
+compared: each task names, of the pairs it finds, ``FORESTS`` edge-disjoint spanning forests of the
+closest, so their number grows with the members and not with their pairs, and each named pair is then
+kept only where the sets of shingles are similar.  So no link is below ``SIMILAR``; one above may be
+missed where the estimate is off or where closer pairs that connect the same texts fail the comparison.
+A set of shingles is one node, so copies and reordered repeats cost one row.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links like any
 other; a text under ``SHINGLE`` words is one shingle; a component is named by its smallest id (null if
@@ -47,9 +52,13 @@ from .batches import lower_words, slices
 SHINGLE = 3
 SEED = 42
 THRESHOLD = 3
-#: Shingles of the 1024-bit fingerprints, in words; their bits in words of 64; differing bits at similarity 0.8
-#: (cosine 0.889 of sets of equal size, an angle of 0.1515 of a half turn).
-WIDE_SHINGLE, WIDE, WIDE_THRESHOLD = 5, 16, 155
+#: Jaccard similarity of sets of shingles from which texts are near copies.
+SIMILAR = 0.8
+#: Shingles of the 1024-bit fingerprints, in words; their bits in words of 64; differing bits of candidates, 155 at
+#: similarity 0.8 (cosine 0.889 of sets of equal size, an angle of 0.1515 of a half turn) and over two deviations.
+WIDE_SHINGLE, WIDE, WIDE_THRESHOLD = 5, 16, 180
+#: Spanning forests of candidates that each task names.
+FORESTS = 2
 #: Bands of smallest hashes, and hashes in each.
 BANDS, BAND = 10, 4
 #: Members of an anchor that are compared with another such number at a time.
@@ -88,12 +97,12 @@ def fingerprint(words: Sequence[bytes], shingle: int = SHINGLE) -> int:
     return majority(shingle_hashes(words, shingle))
 
 
-def sketch(words: Sequence[bytes]) -> tuple[int, bytes, list[int]]:
-    """64-bit fingerprint of the five-word shingles; 1024-bit fingerprint of their set; its bands (none without words)."""
+def sketch(words: Sequence[bytes]) -> tuple[int, int, bytes, list[int]]:
+    """Of the five-word shingles: number of the set (0 for none), 64-bit fingerprint, 1024-bit fingerprint of the set, its bands (none without words)."""
     hashes = shingle_hashes(words, WIDE_SHINGLE)
     own = np.unique(hashes)
     if not len(own):
-        return 0, bytes(8 * WIDE), []
+        return 0, 0, bytes(8 * WIDE), []
     wide = np.empty(WIDE, np.uint64)
     for i, odd in enumerate(_ODD[:WIDE]):
         mixed = (own ^ (own >> np.uint64(31))) * odd
@@ -101,7 +110,14 @@ def sketch(words: Sequence[bytes]) -> tuple[int, bytes, list[int]]:
         wide[i] = majority(mixed ^ (mixed >> np.uint64(32)))
     least = [int((own * odd).min()) for odd in _ODD[WIDE:]]
     bands = [xxhash.xxh64_intdigest(np.array(least[i * BAND : (i + 1) * BAND], np.uint64).tobytes(), i) for i in range(BANDS)]
-    return majority(hashes), wide.tobytes(), bands
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED), majority(hashes), wide.tobytes(), bands
+
+
+def similar(a: Sequence[bytes], b: Sequence[bytes]) -> bool:
+    """Whether the sets of five-word shingles of two lists of words are ``SIMILAR``."""
+    x, y = (np.unique(shingle_hashes(words, WIDE_SHINGLE)) for words in (a, b))
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= SIMILAR * (len(x) + len(y) - common)
 
 
 def fingerprints(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -110,14 +126,15 @@ def fingerprints(documents: DataFrame, text: str = "text", carry: Sequence[str]
 
 
 def sketches(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns, ``fp`` of five-word shingles, ``wide`` (the 1024-bit fingerprint) and ``bands`` of every row."""
+    """The ``carry`` columns, ``node`` (the set of five-word shingles), ``fp``, ``wide`` (the 1024-bit fingerprint) and ``bands`` of every row."""
 
     def mark(texts: list[str | None]) -> list[pa.Array]:
-        fps, wide, bands = zip(*(sketch(lower_words(x)) for x in texts), strict=True) if texts else ((), (), ())
+        nodes, fps, wide, bands = zip(*(sketch(lower_words(x)) for x in texts), strict=True) if texts else ((), (), (), ())
         offsets = np.cumsum([0, *map(len, bands)])
-        return [_signed(fps), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed([x for b in bands for x in b]))]
+        return [_signed(nodes), _signed(fps), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed([x for b in bands for x in b]))]
 
-    return _marked(documents, text, carry, [T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))], mark)
+    longs = [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType())]
+    return _marked(documents, text, carry, [*longs, T.StructField("wide", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))], mark)
 
 
 def _signed(values: Sequence[int]) -> pa.Array:
@@ -180,11 +197,9 @@ def replicas(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (child, smallest member) with the same components as the links a - b."""
-    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(nodes))
+def _settled(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest member of the component of each of ``n`` nodes under the links x - y."""
+    root = np.arange(n)
     while True:
         low = np.minimum(root[x], root[y])
         new = root.copy()
@@ -194,43 +209,70 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while (jumped := new[new]).tobytes() != new.tobytes():
             new = jumped
         if (new == root).all():
-            break
+            return root
         root = new
+
+
+def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (child, smallest member, 0) with the same components as the links a - b."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root = _settled(len(nodes), ends[: len(a)], ends[len(a) :])
     child = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[child], nodes[root[child]]
+    return nodes[child], nodes[root[child]], np.zeros(len(child), np.int64)
 
 
-def compare(groups: np.ndarray, fps: np.ndarray, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links within runs of equal ``groups``; with ``wide`` (rows of words) by these."""
-    none = np.empty(0, np.int64)
+def closest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the links a - b, which are ``apart``, ``FORESTS`` edge-disjoint spanning forests, each the closest of what is left."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    order = np.argsort(apart, kind="stable")
+    x, y = ends[: len(a)][order], ends[len(a) :][order]
+    kept = np.zeros(len(x), bool)
+    for _ in range(FORESTS):
+        root, live = np.arange(len(nodes)), np.flatnonzero(~kept)
+        while len(live := live[root[x[live]] != root[y[live]]]):
+            # each component takes its first link that leaves it
+            first = np.full(len(nodes), len(x))
+            np.minimum.at(first, root[x[live]], live)
+            np.minimum.at(first, root[y[live]], live)
+            chosen = np.unique(first[first < len(x)])
+            kept[chosen] = True
+            root = _settled(len(nodes), root[x[chosen]], root[y[chosen]])[root]
+    at = order[kept]
+    return a[at], b[at], apart[at]
+
+
+def compare(groups: np.ndarray, fps: np.ndarray, wide: np.ndarray | None = None, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links within runs of equal ``groups``, by ``wide`` (rows of words) where it is given; with ``pairs`` the :func:`closest` links."""
     words, threshold = (fps.view(np.uint64)[:, None], THRESHOLD) if wide is None else (wide, WIDE_THRESHOLD)
-    a, b, held = [], [], 0
+    fewer = closest if pairs else forest
+    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]
+    held = 0
     at, step = np.arange(len(fps)), 1
     while len(at := at[at + step < len(fps)]) and len(at := at[groups[at] == groups[at + step]]):
-        close = np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1, dtype=np.int64) <= threshold
-        hit = at[close]
-        a.append(fps[hit])
-        b.append(fps[hit + step])
+        apart = np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1, dtype=np.int64)
+        hit = at[apart <= threshold]
+        found.append((fps[hit], fps[hit + step], apart[apart <= threshold]))
         held += len(hit)
         if held > 1 << 20:
-            x, y = forest(np.concatenate(a), np.concatenate(b))
-            a, b, held = [x], [y], len(x)
+            found = [fewer(*map(np.concatenate, zip(*found, strict=True)))]
+            held = len(found[0][0])
         step += 1
-    return forest(np.concatenate(a), np.concatenate(b)) if held else (none, none)
+    a, b, _ = fewer(*map(np.concatenate, zip(*found, strict=True)))
+    return a, b
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, pairs: bool = False) -> DataFrame:
     """``child`` and ``root``: links with the components of all pairs of fingerprints within the threshold."""
-    return meet(replicas(distinct))
+    return meet(replicas(distinct), pairs)
 
 
-def wide_links(distinct: DataFrame) -> DataFrame:
-    """As :func:`links` for ``fp``, ``wide`` and ``bands``: pairs that share a band and whose wide fingerprints are within the threshold."""
-    return meet(distinct.select(F.explode("bands").alias("anchor"), "fp", "wide"))
+def wide_pairs(distinct: DataFrame) -> DataFrame:
+    """``child`` and ``root``: nodes of ``node``, ``wide`` and ``bands`` that share a band and are within the threshold, as :func:`closest` names them."""
+    return meet(distinct.select(F.explode("bands").alias("anchor"), F.col("node").alias("fp"), "wide"), True)
 
 
-def meet(all_replicas: DataFrame) -> DataFrame:
-    """``child`` and ``root`` of the links within each ``anchor`` of ``all_replicas``, which has ``fp`` and perhaps ``wide``."""
+def meet(all_replicas: DataFrame, pairs: bool = False) -> DataFrame:
+    """``child`` and ``root`` of the links (with ``pairs``: the closest pairs) within each ``anchor`` of ``all_replicas``, which has ``fp`` and perhaps ``wide``."""
     wide = [c for c in all_replicas.columns if c == "wide"]
     hot = all_replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
     hot = cut(hot.select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "anchors")
@@ -256,9 +298,9 @@ def meet(all_replicas: DataFrame) -> DataFrame:
             group = np.cumsum(new)
             rest = [c[last:] for c in columns]
             if last:
-                yield from found(*compare(group[:last], *(c[:last] for c in columns[3:])))
+                yield from found(*compare(group[:last], *(c[:last] for c in columns[3:]), pairs=pairs))
         if rest:
-            yield from found(*compare(np.zeros(len(rest[3]), np.int64), *rest[3:]))
+            yield from found(*compare(np.zeros(len(rest[3]), np.int64), *rest[3:], pairs=pairs))
 
     def found(child: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(child):
@@ -295,12 +337,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(marked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``fp``, ``root`` (a fingerprint that names the component) and ``component_id`` for each fingerprint of ``marked`` (key, fp, perhaps wide and bands)."""
+    """``fp``, ``root`` (a fingerprint that names the component) and ``component_id`` for each fingerprint of ``marked`` (key, fp)."""
     nodes = cut(marked.groupBy("fp").agg(F.min(key).alias("_least")), "fingerprints")
-    edges = links(nodes)
-    if "wide" in marked.columns:
-        edges = edges.unionByName(wide_links(cut(marked.select("fp", "wide", "bands").dropDuplicates(["fp", "wide"]), "wide")))
-    roots = components(edges)
+    roots = components(links(nodes))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
     named = cut(placed.groupBy("root").agg(F.min("_least").alias("component_id")), "components")
     return placed.select("fp", "root").join(named, "root")
@@ -312,17 +351,46 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return marked.join(groups(marked, key).select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+def similar_pairs(documents: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
+    """``child`` and ``root``: nodes of ``marked`` whose sets of shingles have been compared and are similar.
+
+    ``marked``: key, _hash and what :func:`sketches` adds; ``documents`` has ``_hash`` too.
+    """
+    nodes = cut(marked.select("node", "fp", "wide", "bands").dropDuplicates(["node"]), "nodes")
+    named = nodes.groupBy("fp").agg(F.min("node").alias("_name"))
+    by_fp = links(named, True)
+    for end in ("child", "root"):
+        by_fp = by_fp.join(named.select(F.col("fp").alias(end), F.col("_name").alias(f"_{end}")), end)
+    same = nodes.join(named, "fp").select(F.col("node").alias("child"), F.col("_name").alias("root"))
+    met = by_fp.select(F.col("_child").alias("child"), F.col("_root").alias("root")).unionByName(same).unionByName(wide_pairs(nodes))
+    asked = cut(met.where("child <> root").select(F.greatest("child", "root").alias("child"), F.least("child", "root").alias("root")).distinct(), "candidates")
+    # one text of each node that is asked for
+    used = asked.select(F.col("child").alias("node")).unionByName(asked.select(F.col("root").alias("node"))).distinct()
+    one = F.min(F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.col("_hash").alias("hash"))).alias("one")
+    places = cut(marked.join(used, "node", "left_semi").groupBy("node").agg(one).select("node", F.col("one.id").alias("_id"), F.col("one.hash").alias("_h")), "places")
+    texts = documents.join(places, documents[key].eqNullSafe(places["_id"]) & (documents["_hash"] == places["_h"])).groupBy("node").agg(F.first(F.col(text)).alias("_t"))
+    texts = cut(texts, "texts")
+    both = asked.join(texts.select(F.col("node").alias("child"), F.col("_t").alias("_a")), "child").join(texts.select(F.col("node").alias("root"), F.col("_t").alias("_b")), "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_a"):
+            near = pa.array([similar(lower_words(a.as_py()), lower_words(b.as_py())) for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield batch.select(["child", "root"]).filter(near)
+
+    return both.select("child", "root", "_a", "_b").mapInArrow(run, "child long, root long")
+
+
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``documents`` with one row of each component of near copies, five-word shingles 0.8 similar: the one with the smallest id, then text hash."""
-    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
-    marked = cut(sketches(documents.withColumn("_hash", hashed), text, [key, "_hash"]), "documents")
-    rooted = marked.join(groups(marked, key).select("fp", "root"), "fp")
+    own = documents.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()))
+    marked = cut(sketches(own, text, [key, "_hash"]), "documents")
+    roots = components(similar_pairs(own, marked, key, text)).withColumnRenamed("root", "_root")
+    rooted = marked.select(key, "_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node"))
     first = F.min(F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.col("_hash").alias("hash"))).alias("first")
     chosen = rooted.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_h"))
     times = marked.groupBy(F.col(key).alias("_k"), F.col("_hash").alias("_g")).agg(F.count(F.lit(1)).alias("_times"))
     chosen = chosen.join(times, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g"))).select("_id", "_h", "_times")
     chosen = cut(chosen, "chosen")
-    own = documents.withColumn("_hash", hashed)
     joined = own.join(chosen, own[key].eqNullSafe(chosen["_id"]) & (own["_hash"] == chosen["_h"]))
     once = joined.where("_times = 1").select(*documents.columns)
     again = joined.where("_times > 1").dropDuplicates([key, "_hash"]).select(*documents.columns)

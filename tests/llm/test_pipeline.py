@@ -1,10 +1,9 @@
 import corpus_pipeline
-from marlstone.llm import decontam, pieces, pii, queries, simhash
-from marlstone.llm.batches import lower_words
+from marlstone.llm import decontam, pieces, pii, queries
 
 from .test_decontam import brute as leaks
 from .test_pii import brute as spans
-from .test_simhash import brute_components, wide_near
+from .test_simhash import brute_components, shingle_set, similar_sets
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -17,8 +16,8 @@ def test_stages_against_brute_force(spark, sf_dir):
         if name == "language ID":
             assert set(rows) == {k for k, r in kept.items() if any(c.isalpha() for c in r["text"] or "")}
         elif name == "SimHash near-dedup":
-            members = [(k, simhash.sketch(lower_words(r["text"]))) for k, r in sorted(kept.items())]
-            assert set(rows) == set(brute_components(members, wide_near))
+            members = [(k, shingle_set(r["text"])) for k, r in sorted(kept.items())]
+            assert set(rows) == set(brute_components(members, similar_sets))
         elif name == "benchmark decontamination":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
             short = [(k, r["text"]) for k, r in kept.items() if len(r["text"]) < 3000]

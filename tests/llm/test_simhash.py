@@ -20,9 +20,14 @@ def near(a, b):
     return (a ^ b).bit_count() <= 3
 
 
-def wide_near(a, b):
-    """Of sketches: 64-bit fingerprints near, or a band shared and 1024-bit fingerprints near."""
-    return near(a[0], b[0]) or bool(set(a[2]) & set(b[2])) and (int.from_bytes(a[1]) ^ int.from_bytes(b[1])).bit_count() <= 155
+def shingle_set(text):
+    words = lower_words(text)
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_sets(a, b):
+    """Of sets of shingles: a Jaccard similarity of 0.8 or more; sets without words are alike."""
+    return len(a & b) >= 0.8 * len(a | b)
 
 
 def brute_components(members, near=near):
@@ -137,19 +142,14 @@ def test_equal_ids_with_other_texts(spark):
     assert simhash.keep_one(docs).count() == 3
 
 
-def shingle_set(text):
-    words = lower_words(text)
-    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
 @given(st.lists(st.sampled_from([b"a", b"b", b"cc"]), max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_sketch(words):
-    fp, wide, bands = simhash.sketch(words)
+    node, fp, wide, bands = simhash.sketch(words)
     assert fp == simhash.fingerprint(words, 5) and len(wide) == 128 and len(bands) == (10 if words else 0)
-    assert simhash.sketch(list(words)) == (fp, wide, bands)
+    assert simhash.sketch(list(words)) == (node, fp, wide, bands)
     if not words:
-        assert fp == 0 and not any(wide)
+        assert node == fp == 0 and not any(wide)
 
 
 def copies(n, seed):
@@ -164,12 +164,30 @@ def copies(n, seed):
         yield a, b, len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
 
 
-def test_similar_sets_link_and_others_do_not():
-    found = [(s, wide_near(simhash.sketch(lower_words(a)), simhash.sketch(lower_words(b)))) for a, b, s in copies(400, 5)]
-    sure = [hit for s, hit in found if s >= 0.88]
+def test_candidates_hold_the_similar_sets():
+    found = []
+    for a, b, share in copies(400, 5):
+        (_, x, wide_x, bands_x), (_, y, wide_y, bands_y) = (simhash.sketch(lower_words(t)) for t in (a, b))
+        apart = (int.from_bytes(wide_x) ^ int.from_bytes(wide_y)).bit_count()
+        found.append((share, near(x, y) or bool(set(bands_x) & set(bands_y)) and apart <= simhash.WIDE_THRESHOLD))
+        assert simhash.similar(lower_words(a), lower_words(b)) == (share >= 0.8)
     close = [hit for s, hit in found if s >= 0.8]
-    assert len(sure) > 30 and sum(sure) / len(sure) >= 0.98 and sum(close) / len(close) >= 0.85
-    assert not any(hit for s, hit in found if s < 0.7)
+    assert len(close) > 50 and sum(close) / len(close) >= 0.98
+    assert not any(hit for s, hit in found if s < 0.65)
+
+
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12), st.integers(0, 5)).filter(lambda t: t[0] != t[1]), min_size=1, max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_closest_spans_by_the_closest(rows):
+    a, b, apart = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    got = set(zip(*(c.tolist() for c in simhash.closest(a, b, apart)), strict=True))
+    assert got <= set(rows) and len(got) <= 2 * 12
+
+    def label(edges):
+        return brute_components([(n, n) for n in range(13)], lambda x, y: (x, y) in edges or (y, x) in edges)
+
+    for most in range(6):  # at each distance what is kept connects all that the links connect
+        assert label({r[:2] for r in got if r[2] <= most}) == label({r[:2] for r in rows if r[2] <= most})
 
 
 def test_keep_one_of_near_copies(spark, monkeypatch):
@@ -188,5 +206,5 @@ def test_keep_one_of_near_copies(spark, monkeypatch):
 
 def test_keep_one_against_brute_force(spark, sf_dir):
     docs = queries.documents(spark, sf_dir)
-    members = [(r["doc_id"], simhash.sketch(lower_words(r["text"]))) for r in docs.orderBy("doc_id").collect()]
-    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(brute_components(members, wide_near))
+    members = [(r["doc_id"], shingle_set(r["text"])) for r in docs.orderBy("doc_id").collect()]
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(brute_components(members, similar_sets))
