@@ -63,6 +63,8 @@ FORESTS = 2
 BANDS, BAND = 10, 4
 #: Members of an anchor that are compared with another such number at a time.
 CHUNK = 1024
+#: Links that a task holds before it reduces them.
+HELD = 1 << 17
 #: Rounds of star contraction after which something is wrong.
 MAX_ROUNDS = 60
 
@@ -150,6 +152,8 @@ def _marked(documents: DataFrame, text: str, carry: Sequence[str], added: list[T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *mark(batch.column(n).to_pylist())], names=schema.names)
+            del batch
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return documents.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -253,7 +257,7 @@ def compare(groups: np.ndarray, fps: np.ndarray, wide: np.ndarray | None = None,
         hit = at[apart <= threshold]
         found.append((fps[hit], fps[hit + step], apart[apart <= threshold]))
         held += len(hit)
-        if held > 1 << 20:
+        if held > HELD:
             found = [fewer(*map(np.concatenate, zip(*found, strict=True)))]
             held = len(found[0][0])
         step += 1
@@ -356,13 +360,14 @@ def similar_pairs(documents: DataFrame, marked: DataFrame, key: str, text: str)
 
     ``marked``: key, _hash and what :func:`sketches` adds; ``documents`` has ``_hash`` too.
     """
-    nodes = cut(marked.select("node", "fp", "wide", "bands").dropDuplicates(["node"]), "nodes")
-    named = nodes.groupBy("fp").agg(F.min("node").alias("_name"))
+    nodes = cut(marked.groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
+    named = cut(nodes.groupBy("fp").agg(F.min("node").alias("_name")), "fingerprints")
     by_fp = links(named, True)
     for end in ("child", "root"):
         by_fp = by_fp.join(named.select(F.col("fp").alias(end), F.col("_name").alias(f"_{end}")), end)
     same = nodes.join(named, "fp").select(F.col("node").alias("child"), F.col("_name").alias("root"))
-    met = by_fp.select(F.col("_child").alias("child"), F.col("_root").alias("root")).unionByName(same).unionByName(wide_pairs(nodes))
+    met = by_fp.select(F.col("_child").alias("child"), F.col("_root").alias("root")).unionByName(same)
+    met = met.unionByName(wide_pairs(cut(marked.select("node", "wide", "bands").dropDuplicates(["node"]), "wide")))
     asked = cut(met.where("child <> root").select(F.greatest("child", "root").alias("child"), F.least("child", "root").alias("root")).distinct(), "candidates")
     # one text of each node that is asked for
     used = asked.select(F.col("child").alias("node")).unionByName(asked.select(F.col("root").alias("node"))).distinct()
