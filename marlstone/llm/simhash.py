@@ -25,9 +25,10 @@ above).  At ``WIDE_THRESHOLD`` differing bits, well beyond the 155 expected at 0
 bits, is 0.025 of similarity), a pair is a candidate.  Candidates do not count until the texts have been
 compared: each task names, of the pairs it finds, ``FORESTS`` edge-disjoint spanning forests of the
 closest, so their number grows with the members and not with their pairs, and each named pair is then
-kept only where the sets of shingles are similar.  So no link is below ``SIMILAR``; one above may be
-missed where the estimate is off or where closer pairs that connect the same texts fail the comparison.
-A set of shingles is one node, so copies and reordered repeats cost one row.
+kept only where the sets of shingles are similar.  A block of members whose pairs were not all named and
+that still lies in several components is then compared whole, by counts of common shingles
+(:func:`rest_pairs`), so no candidate that would join two components stays untested, and no link is below
+``SIMILAR``.  A set of shingles is one node, so copies and reordered repeats cost one row.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links like any
 other; a text under ``SHINGLE`` words is one shingle; a component is named by its smallest id (null if
@@ -61,10 +62,14 @@ WIDE_SHINGLE, WIDE, WIDE_THRESHOLD = 5, 16, 180
 FORESTS = 2
 #: Bands of smallest hashes, and hashes in each.
 BANDS, BAND = 10, 4
+#: What names a block of members that a task compares.
+BLOCK = ("anchor", "i", "j")
 #: Members of an anchor that are compared with another such number at a time.
 CHUNK = 1024
 #: Links that a task holds before it reduces them.
 HELD = 1 << 17
+#: Places of shingles that are counted at a time where a block is compared whole.
+GATHERED = 1 << 21
 #: Rounds of star contraction after which something is wrong.
 MAX_ROUNDS = 60
 
@@ -217,16 +222,16 @@ def _settled(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         root = new
 
 
-def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (child, smallest member, 0) with the same components as the links a - b."""
+def forest(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Links (child, smallest member, and 0 for what is ``more``) with the same components as the links a - b."""
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
     root = _settled(len(nodes), ends[: len(a)], ends[len(a) :])
     child = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[child], nodes[root[child]], np.zeros(len(child), np.int64)
+    return nodes[child], nodes[root[child]], *(np.zeros(len(child), np.int64) for _ in more)
 
 
-def closest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the links a - b, which are ``apart``, ``FORESTS`` edge-disjoint spanning forests, each the closest of what is left."""
+def closest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the links a - b, which are ``apart``, ``FORESTS`` edge-disjoint spanning forests, each the closest of what is left, with what is ``more``."""
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
     order = np.argsort(apart, kind="stable")
     x, y = ends[: len(a)][order], ends[len(a) :][order]
@@ -242,49 +247,52 @@ def closest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray
             kept[chosen] = True
             root = _settled(len(nodes), root[x[chosen]], root[y[chosen]])[root]
     at = order[kept]
-    return a[at], b[at], apart[at]
+    return a[at], b[at], apart[at], *(x[at] for x in more)
 
 
-def compare(groups: np.ndarray, fps: np.ndarray, wide: np.ndarray | None = None, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links within runs of equal ``groups``, by ``wide`` (rows of words) where it is given; with ``pairs`` the :func:`closest` links."""
+def compare(groups: np.ndarray, fps: np.ndarray, wide: np.ndarray | None = None, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest of the links within runs of equal ``groups``, by ``wide`` (rows of words) where it is given; with ``pairs`` the :func:`closest` links.
+
+    Third, the groups of which not every link is returned.
+    """
     words, threshold = (fps.view(np.uint64)[:, None], THRESHOLD) if wide is None else (wide, WIDE_THRESHOLD)
     fewer = closest if pairs else forest
-    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]
-    held = 0
+    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
+    held, most = 0, int(groups[-1]) + 1
+    total = np.zeros(most, np.int64)
     at, step = np.arange(len(fps)), 1
     while len(at := at[at + step < len(fps)]) and len(at := at[groups[at] == groups[at + step]]):
         apart = np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1, dtype=np.int64)
         hit = at[apart <= threshold]
-        found.append((fps[hit], fps[hit + step], apart[apart <= threshold]))
+        total += np.bincount(groups[hit], minlength=most)
+        found.append((fps[hit], fps[hit + step], apart[apart <= threshold], groups[hit]))
         held += len(hit)
         if held > HELD:
             found = [fewer(*map(np.concatenate, zip(*found, strict=True)))]
             held = len(found[0][0])
         step += 1
-    a, b, _ = fewer(*map(np.concatenate, zip(*found, strict=True)))
-    return a, b
+    a, b, _, of = fewer(*map(np.concatenate, zip(*found, strict=True)))
+    return a, b, np.flatnonzero(total > np.bincount(of, minlength=most))
 
 
-def links(distinct: DataFrame, pairs: bool = False) -> DataFrame:
+def links(distinct: DataFrame) -> DataFrame:
     """``child`` and ``root``: links with the components of all pairs of fingerprints within the threshold."""
-    return meet(replicas(distinct), pairs)
-
+    return meet(deal(replicas(distinct)), False)
 
-def wide_pairs(distinct: DataFrame) -> DataFrame:
-    """``child`` and ``root``: nodes of ``node``, ``wide`` and ``bands`` that share a band and are within the threshold, as :func:`closest` names them."""
-    return meet(distinct.select(F.explode("bands").alias("anchor"), F.col("node").alias("fp"), "wide"), True)
 
-
-def meet(all_replicas: DataFrame, pairs: bool = False) -> DataFrame:
-    """``child`` and ``root`` of the links (with ``pairs``: the closest pairs) within each ``anchor`` of ``all_replicas``, which has ``fp`` and perhaps ``wide``."""
+def deal(all_replicas: DataFrame) -> DataFrame:
+    """The members of each ``anchor`` of ``all_replicas``, which has ``fp`` and perhaps ``wide``, in blocks ``anchor``, ``i``, ``j``: every two members meet in one."""
     wide = [c for c in all_replicas.columns if c == "wide"]
     hot = all_replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
     hot = cut(hot.select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "anchors")
     parts = F.coalesce(F.col("parts"), F.lit(1))
     own = F.when(parts > 1, F.pmod(F.xxhash64("fp"), parts)).otherwise(F.lit(0)).cast("int")
     tagged = all_replicas.join(hot, "anchor", "left").select("anchor", "fp", *wide, own.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q"))
-    dealt = tagged.select("anchor", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "fp", *wide)
-    keys = ["anchor", "i", "j"]
+    return tagged.select("anchor", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "fp", *wide)
+
+
+def meet(dealt: DataFrame, pairs: bool) -> DataFrame:
+    """``child`` and ``root`` of the links within each block of :func:`deal`; with ``pairs`` the closest pairs, and ``anchor``, ``i``, ``j`` of the blocks of which not every pair is named, in rows of their own."""
 
     def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
         numbers = [c.to_numpy().astype(np.int64) for c in batch.columns[:4]]
@@ -302,15 +310,23 @@ def meet(all_replicas: DataFrame, pairs: bool = False) -> DataFrame:
             group = np.cumsum(new)
             rest = [c[last:] for c in columns]
             if last:
-                yield from found(*compare(group[:last], *(c[:last] for c in columns[3:]), pairs=pairs))
+                yield from found(group[:last], [c[:last] for c in columns])
         if rest:
-            yield from found(*compare(np.zeros(len(rest[3]), np.int64), *rest[3:], pairs=pairs))
+            yield from found(np.zeros(len(rest[3]), np.int64), rest)
 
-    def found(child: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def found(group: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        child, root, left = compare(group, *columns[3:], pairs=pairs)
         if len(child):
-            yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], names=["child", "root"])
+            named = [pa.array(child), pa.array(root)]
+            yield pa.RecordBatch.from_arrays(named + [pa.nulls(len(child), t) for t in kinds[2:]], names=names)
+        if pairs and len(left):
+            at = np.searchsorted(group, left)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), t) for t in kinds[:2]] + [pa.array(c[at], t) for c, t in zip(columns[:3], kinds[2:], strict=True)], names=names)
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "child long, root long")
+    names = ["child", "root", *(BLOCK if pairs else ())]
+    kinds = [pa.int64(), pa.int64(), *((pa.int64(), pa.int32(), pa.int32()) if pairs else ())]
+    schema = "child long, root long" + (", anchor long, i int, j int" if pairs else "")
+    return dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -361,20 +377,16 @@ def similar_pairs(documents: DataFrame, marked: DataFrame, key: str, text: str)
     ``marked``: key, _hash and what :func:`sketches` adds; ``documents`` has ``_hash`` too.
     """
     nodes = cut(marked.groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
-    named = cut(nodes.groupBy("fp").agg(F.min("node").alias("_name")), "fingerprints")
-    by_fp = links(named, True)
+    named = cut(nodes.groupBy("fp").agg(F.min("node").alias("_name"), F.count(F.lit(1)).alias("_nodes")), "fingerprints")
+    by_fp, by_band = deal(replicas(named)), deal(banded(cut(marked.select("node", "wide", "bands").dropDuplicates(["node"]), "wide")))
+    of_fps, of_bands = cut(meet(by_fp, True), "anchored"), cut(meet(by_band, True), "banded")
+    met = of_fps.select("child", "root")
     for end in ("child", "root"):
-        by_fp = by_fp.join(named.select(F.col("fp").alias(end), F.col("_name").alias(f"_{end}")), end)
+        met = met.join(named.select(F.col("fp").alias(end), F.col("_name").alias(f"_{end}")), end)
     same = nodes.join(named, "fp").select(F.col("node").alias("child"), F.col("_name").alias("root"))
-    met = by_fp.select(F.col("_child").alias("child"), F.col("_root").alias("root")).unionByName(same)
-    met = met.unionByName(wide_pairs(cut(marked.select("node", "wide", "bands").dropDuplicates(["node"]), "wide")))
+    met = met.select(F.col("_child").alias("child"), F.col("_root").alias("root")).unionByName(same).unionByName(of_bands.select("child", "root"))
     asked = cut(met.where("child <> root").select(F.greatest("child", "root").alias("child"), F.least("child", "root").alias("root")).distinct(), "candidates")
-    # one text of each node that is asked for
-    used = asked.select(F.col("child").alias("node")).unionByName(asked.select(F.col("root").alias("node"))).distinct()
-    one = F.min(F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.col("_hash").alias("hash"))).alias("one")
-    places = cut(marked.join(used, "node", "left_semi").groupBy("node").agg(one).select("node", F.col("one.id").alias("_id"), F.col("one.hash").alias("_h")), "places")
-    texts = documents.join(places, documents[key].eqNullSafe(places["_id"]) & (documents["_hash"] == places["_h"])).groupBy("node").agg(F.first(F.col(text)).alias("_t"))
-    texts = cut(texts, "texts")
+    texts = node_texts(documents, marked, asked.select(F.col("child").alias("node")).unionByName(asked.select(F.col("root").alias("node"))), key, text)
     both = asked.join(texts.select(F.col("node").alias("child"), F.col("_t").alias("_a")), "child").join(texts.select(F.col("node").alias("root"), F.col("_t").alias("_b")), "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +394,97 @@ def similar_pairs(documents: DataFrame, marked: DataFrame, key: str, text: str)
             near = pa.array([similar(lower_words(a.as_py()), lower_words(b.as_py())) for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield batch.select(["child", "root"]).filter(near)
 
-    return both.select("child", "root", "_a", "_b").mapInArrow(run, "child long, root long")
+    sure = cut(both.select("child", "root", "_a", "_b").mapInArrow(run, "child long, root long"), "similar")
+    # blocks of which not every pair was named, and fingerprints of three nodes or more, as nodes were compared with the first of these only
+    crowded = nodes.join(named.where("_nodes > 2"), "fp").select(F.xxhash64(F.lit("same"), "fp").alias("anchor"), F.col("node").alias("fp"))
+    left = deal(crowded).unionByName(by_band.drop("wide").join(open_blocks(of_bands), list(BLOCK), "left_semi"))
+    left = left.withColumnRenamed("fp", "node").unionByName(by_fp.join(open_blocks(of_fps), list(BLOCK), "left_semi").join(nodes, "fp").select(*BLOCK, "node"))
+    left = cut(left, "left")
+    if not left.limit(1).count():
+        return sure
+    return sure.unionByName(rest_pairs(left, components(sure), lambda used: node_texts(documents, marked, used, key, text)))
+
+
+def banded(distinct: DataFrame) -> DataFrame:
+    """``anchor``, ``fp`` and ``wide`` for each band of each node of ``node``, ``wide`` and ``bands``."""
+    return distinct.select(F.explode("bands").alias("anchor"), F.col("node").alias("fp"), "wide")
+
+
+def open_blocks(met: DataFrame) -> DataFrame:
+    return met.where("anchor IS NOT NULL").select(*BLOCK).distinct()
+
+
+def node_texts(documents: DataFrame, marked: DataFrame, used: DataFrame, key: str, text: str) -> DataFrame:
+    """``node`` and ``_t``, one text of it, written, for each ``node`` of ``used``."""
+    one = F.min(F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.col("_hash").alias("hash"))).alias("one")
+    places = cut(marked.join(used.distinct(), "node", "left_semi").groupBy("node").agg(one).select("node", F.col("one.id").alias("_id"), F.col("one.hash").alias("_h")), "places")
+    texts = documents.join(places, documents[key].eqNullSafe(places["_id"]) & (documents["_hash"] == places["_h"])).groupBy("node").agg(F.first(F.col(text)).alias("_t"))
+    return cut(texts, "texts")
+
+
+def rest_pairs(left: DataFrame, roots: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``child`` and ``root``: links that join the components ``roots`` (node, root) as all similar pairs within the blocks of ``left`` (anchor, i, j, node) do."""
+    labelled = cut(left.join(roots, "node", "left").select(*BLOCK, "node", F.coalesce("root", "node").alias("part")), "labelled")
+    several = labelled.groupBy(*BLOCK).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select(*BLOCK)
+    members = cut(labelled.join(several, list(BLOCK), "left_semi"), "members")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_t"):
+            sets = [np.unique(shingle_hashes(lower_words(t), WIDE_SHINGLE)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    sets = cut(texts_of(members.select("node")).select("node", "_t").mapInArrow(shingled, "node long, shingles binary"), "shingles")
+    rows = members.join(sets, "node").select(*BLOCK, "node", "part", "shingles").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+        for batch in batches:
+            for *own, node, part, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != place:
+                    yield from close(held)
+                    place, held = own, []
+                held.append((node, part, np.frombuffer(shingles, np.uint64)))
+        yield from close(held)
+
+    def close(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            nodes, parts, sets = zip(*held, strict=True)
+            a, b = joining(np.array(parts, np.int64), sets)
+            nodes = np.array(nodes, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes[a], nodes[b])), pa.array(np.minimum(nodes[a], nodes[b]))], names=["child", "root"])
+
+    return rows.mapInArrow(run, "child long, root long")
+
+
+def joining(parts: np.ndarray, sets: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of similar sets that join the ``parts`` of a block as all its similar pairs do."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), size)[np.argsort(number, kind="stable")]
+    start = np.concatenate(([0], np.cumsum(np.bincount(number))))
+    ends = np.concatenate(([0], np.cumsum(size)))
+    names, part, times = np.unique(parts, return_inverse=True, return_counts=True)
+    found: list[tuple[int, int]] = []
+    # one end of every pair that joins lies outside of the largest part
+    for i in np.flatnonzero(part != times.argmax()).tolist():
+        own = number[ends[i] : ends[i + 1]]
+        lengths = start[own + 1] - start[own]
+        common, till = np.zeros(m, np.int64), np.cumsum(lengths)
+        at = 0
+        while at < len(own):
+            end = max(at + 1, int(np.searchsorted(till, (till[at - 1] if at else 0) + GATHERED, side="right")))
+            n = lengths[at:end]
+            spots = np.arange(n.sum()) + np.repeat(start[own[at:end]] - np.cumsum(n) + n, n)
+            common += np.bincount(owner[spots], minlength=m)
+            at = end
+        hit = np.flatnonzero((common >= SIMILAR * (size[i] + size - common)) & (part != part[i]))
+        if len(hit):
+            joined, first = np.unique(part[hit], return_index=True)
+            found += [(i, j) for j in hit[first].tolist()]
+            part[np.isin(part, joined)] = part[i]
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return a, b
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -208,3 +208,22 @@ def test_keep_one_against_brute_force(spark, sf_dir):
     docs = queries.documents(spark, sf_dir)
     members = [(r["doc_id"], shingle_set(r["text"])) for r in docs.orderBy("doc_id").collect()]
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(brute_components(members, similar_sets))
+
+
+def test_links_among_many_closer_looking_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    texts = []
+    for i in range(250):
+        words = list(base)
+        for at in rng.choice(400, 6, replace=False).tolist():
+            words[at] = f"new{i}x{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(brute_components([(i, shingle_set(t)) for i, t in enumerate(texts)], similar_sets))
+    assert 20 < len(want) < 230
+    got = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert got == want
+    monkeypatch.setattr(simhash, "CHUNK", 64)
+    monkeypatch.setattr(simhash, "GATHERED", 1000)
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == want
