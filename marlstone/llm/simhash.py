@@ -21,8 +21,10 @@ billion fingerprints put about 240 in each.
 ``SIMILAR`` or more.  Over 64 bits such documents differ in about 10, which anchors cannot cover: each
 fingerprint would have over a thousand.  So beside the anchors, fingerprints of 1,024 bits of the sets
 meet where one of ``BANDS`` bands of ``BAND`` smallest hashes is equal (0.995 of the pairs at 0.8, more
-above).  At ``WIDE_THRESHOLD`` differing bits, well beyond the 155 expected at 0.8 (one deviation, 11
-bits, is 0.025 of similarity), a pair is a candidate.  Candidates do not count until the texts have been
+above).  At ``WIDE_THRESHOLD`` differing bits, well beyond the 155 expected at 0.8 (one deviation, 12
+bits, is 0.025 of similarity), a pair is a candidate.  The bits of a small set estimate badly, as ties of
+an even number of shingles go to 0: where a set has ``SMALL`` shingles or fewer, every pair that meets is
+a candidate.  Sets whose sizes alone rule out ``SIMILAR`` are none.  Candidates do not count until the texts have been
 compared: each task names, of the pairs it finds, ``FORESTS`` edge-disjoint spanning forests of the
 closest, so their number grows with the members and not with their pairs, and each named pair is then
 kept only where the sets of shingles are similar.  A block of members whose pairs were not all named and
@@ -58,6 +60,8 @@ SIMILAR = 0.8
 #: Shingles of the 1024-bit fingerprints, in words; their bits in words of 64; differing bits of candidates, 155 at
 #: similarity 0.8 (cosine 0.889 of sets of equal size, an angle of 0.1515 of a half turn) and over two deviations.
 WIDE_SHINGLE, WIDE, WIDE_THRESHOLD = 5, 16, 180
+#: Shingles of a set up to which its fingerprint rules out no pair.
+SMALL = 64
 #: Spanning forests of candidates that each task names.
 FORESTS = 2
 #: Bands of smallest hashes, and hashes in each.
@@ -106,10 +110,15 @@ def fingerprint(words: Sequence[bytes], shingle: int = SHINGLE) -> int:
 
 def sketch(words: Sequence[bytes]) -> tuple[int, int, bytes, list[int]]:
     """Of the five-word shingles: number of the set (0 for none), 64-bit fingerprint, 1024-bit fingerprint of the set, its bands (none without words)."""
+    return _sketch(words)[:4]
+
+
+def _sketch(words: Sequence[bytes]) -> tuple[int, int, bytes, list[int], int]:
+    """What :func:`sketch` gives, and the size of the set."""
     hashes = shingle_hashes(words, WIDE_SHINGLE)
     own = np.unique(hashes)
     if not len(own):
-        return 0, 0, bytes(8 * WIDE), []
+        return 0, 0, bytes(8 * WIDE), [], 0
     wide = np.empty(WIDE, np.uint64)
     for i, odd in enumerate(_ODD[:WIDE]):
         mixed = (own ^ (own >> np.uint64(31))) * odd
@@ -117,7 +126,7 @@ def sketch(words: Sequence[bytes]) -> tuple[int, int, bytes, list[int]]:
         wide[i] = majority(mixed ^ (mixed >> np.uint64(32)))
     least = [int((own * odd).min()) for odd in _ODD[WIDE:]]
     bands = [xxhash.xxh64_intdigest(np.array(least[i * BAND : (i + 1) * BAND], np.uint64).tobytes(), i) for i in range(BANDS)]
-    return xxhash.xxh64_intdigest(own.tobytes(), SEED), majority(hashes), wide.tobytes(), bands
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED), majority(hashes), wide.tobytes(), bands, len(own)
 
 
 def similar(a: Sequence[bytes], b: Sequence[bytes]) -> bool:
@@ -133,14 +142,14 @@ def fingerprints(documents: DataFrame, text: str = "text", carry: Sequence[str]
 
 
 def sketches(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns, ``node`` (the set of five-word shingles), ``fp``, ``wide`` (the 1024-bit fingerprint) and ``bands`` of every row."""
+    """The ``carry`` columns, ``node`` (the set of five-word shingles), ``fp``, ``size`` of the set, ``wide`` (the 1024-bit fingerprint) and ``bands`` of every row."""
 
     def mark(texts: list[str | None]) -> list[pa.Array]:
-        nodes, fps, wide, bands = zip(*(sketch(lower_words(x)) for x in texts), strict=True) if texts else ((), (), (), ())
+        nodes, fps, wide, bands, sizes = zip(*(_sketch(lower_words(x)) for x in texts), strict=True) if texts else ((), (), (), (), ())
         offsets = np.cumsum([0, *map(len, bands)])
-        return [_signed(nodes), _signed(fps), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed([x for b in bands for x in b]))]
+        return [_signed(nodes), _signed(fps), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed([x for b in bands for x in b]))]
 
-    longs = [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType())]
+    longs = [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.LongType())]
     return _marked(documents, text, carry, [*longs, T.StructField("wide", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))], mark)
 
 
@@ -250,12 +259,18 @@ def closest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, *more: np.ndarray)
     return a[at], b[at], apart[at], *(x[at] for x in more)
 
 
-def compare(groups: np.ndarray, fps: np.ndarray, wide: np.ndarray | None = None, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A forest of the links within runs of equal ``groups``, by ``wide`` (rows of words) where it is given; with ``pairs`` the :func:`closest` links.
+def may_be_similar(apart: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of ``x`` and ``y`` shingles, whose wide fingerprints are ``apart``, are candidates."""
+    less, more = np.minimum(x, y), np.maximum(x, y)
+    return (less >= SIMILAR * more) & ((apart <= WIDE_THRESHOLD) | (less <= SMALL))
+
+
+def compare(groups: np.ndarray, fps: np.ndarray, wide: np.ndarray | None = None, sizes: np.ndarray | None = None, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest of the links within runs of equal ``groups``, by ``wide`` (rows of words) and ``sizes`` where they are given; with ``pairs`` the :func:`closest` links.
 
     Third, the groups of which not every link is returned.
     """
-    words, threshold = (fps.view(np.uint64)[:, None], THRESHOLD) if wide is None else (wide, WIDE_THRESHOLD)
+    words = fps.view(np.uint64)[:, None] if wide is None else wide
     fewer = closest if pairs else forest
     found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
     held, most = 0, int(groups[-1]) + 1
@@ -263,9 +278,10 @@ def compare(groups: np.ndarray, fps: np.ndarray, wide: np.ndarray | None = None,
     at, step = np.arange(len(fps)), 1
     while len(at := at[at + step < len(fps)]) and len(at := at[groups[at] == groups[at + step]]):
         apart = np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1, dtype=np.int64)
-        hit = at[apart <= threshold]
+        near = apart <= THRESHOLD if sizes is None else may_be_similar(apart, sizes[at], sizes[at + step])
+        hit = at[near]
         total += np.bincount(groups[hit], minlength=most)
-        found.append((fps[hit], fps[hit + step], apart[apart <= threshold], groups[hit]))
+        found.append((fps[hit], fps[hit + step], apart[near], groups[hit]))
         held += len(hit)
         if held > HELD:
             found = [fewer(*map(np.concatenate, zip(*found, strict=True)))]
@@ -281,8 +297,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def deal(all_replicas: DataFrame) -> DataFrame:
-    """The members of each ``anchor`` of ``all_replicas``, which has ``fp`` and perhaps ``wide``, in blocks ``anchor``, ``i``, ``j``: every two members meet in one."""
-    wide = [c for c in all_replicas.columns if c == "wide"]
+    """The members of each ``anchor`` of ``all_replicas``, which has ``fp`` and perhaps ``wide`` and ``size``, in blocks ``anchor``, ``i``, ``j``: every two members meet in one."""
+    wide = [c for c in ("wide", "size") if c in all_replicas.columns]
     hot = all_replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
     hot = cut(hot.select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "anchors")
     parts = F.coalesce(F.col("parts"), F.lit(1))
@@ -296,7 +312,9 @@ def meet(dealt: DataFrame, pairs: bool) -> DataFrame:
 
     def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
         numbers = [c.to_numpy().astype(np.int64) for c in batch.columns[:4]]
-        return numbers + [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, WIDE) for c in batch.columns[4:]]
+        if batch.num_columns > 4:
+            numbers += [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, WIDE), batch.column(5).to_numpy()]
+        return numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []  # of the group that may go on in the next batch
@@ -378,7 +396,7 @@ def similar_pairs(documents: DataFrame, marked: DataFrame, key: str, text: str)
     """
     nodes = cut(marked.groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
     named = cut(nodes.groupBy("fp").agg(F.min("node").alias("_name"), F.count(F.lit(1)).alias("_nodes")), "fingerprints")
-    by_fp, by_band = deal(replicas(named)), deal(banded(cut(marked.select("node", "wide", "bands").dropDuplicates(["node"]), "wide")))
+    by_fp, by_band = deal(replicas(named)), deal(banded(cut(marked.select("node", "wide", "size", "bands").dropDuplicates(["node"]), "wide")))
     of_fps, of_bands = cut(meet(by_fp, True), "anchored"), cut(meet(by_band, True), "banded")
     met = of_fps.select("child", "root")
     for end in ("child", "root"):
@@ -397,7 +415,7 @@ def similar_pairs(documents: DataFrame, marked: DataFrame, key: str, text: str)
     sure = cut(both.select("child", "root", "_a", "_b").mapInArrow(run, "child long, root long"), "similar")
     # blocks of which not every pair was named, and fingerprints of three nodes or more, as nodes were compared with the first of these only
     crowded = nodes.join(named.where("_nodes > 2"), "fp").select(F.xxhash64(F.lit("same"), "fp").alias("anchor"), F.col("node").alias("fp"))
-    left = deal(crowded).unionByName(by_band.drop("wide").join(open_blocks(of_bands), list(BLOCK), "left_semi"))
+    left = deal(crowded).unionByName(by_band.drop("wide", "size").join(open_blocks(of_bands), list(BLOCK), "left_semi"))
     left = left.withColumnRenamed("fp", "node").unionByName(by_fp.join(open_blocks(of_fps), list(BLOCK), "left_semi").join(nodes, "fp").select(*BLOCK, "node"))
     left = cut(left, "left")
     if not left.limit(1).count():
@@ -406,8 +424,8 @@ def similar_pairs(documents: DataFrame, marked: DataFrame, key: str, text: str)
 
 
 def banded(distinct: DataFrame) -> DataFrame:
-    """``anchor``, ``fp`` and ``wide`` for each band of each node of ``node``, ``wide`` and ``bands``."""
-    return distinct.select(F.explode("bands").alias("anchor"), F.col("node").alias("fp"), "wide")
+    """``anchor``, ``fp``, ``wide`` and ``size`` for each band of each node of ``node``, ``wide``, ``size`` and ``bands``."""
+    return distinct.select(F.explode("bands").alias("anchor"), F.col("node").alias("fp"), "wide", "size")
 
 
 def open_blocks(met: DataFrame) -> DataFrame:

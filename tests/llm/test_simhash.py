@@ -227,3 +227,16 @@ def test_links_among_many_closer_looking_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 64)
     monkeypatch.setattr(simhash, "GATHERED", 1000)
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == want
+
+
+def test_short_near_copies(spark):
+    texts = []
+    for i in range(40):
+        words = [f"s{i}w{j}" for j in range(19)]
+        texts += [" ".join(words[:8]), " ".join(words[:9]), " ".join(words[10:18]), " ".join(words[9:18])]
+    texts = [t for i, t in enumerate(texts) if i % 4 < 2] + [t.replace("s", "t") for i, t in enumerate(texts) if i % 4 > 1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = [(i, shingle_set(t)) for i, t in enumerate(texts)]
+    # a pair of 4 and 5 shingles at exactly 0.8 shares a band with 0.995
+    assert len(set(brute_components(members, similar_sets))) == 80
+    assert 80 <= simhash.keep_one(docs).count() <= 82
