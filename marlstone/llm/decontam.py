@@ -15,6 +15,9 @@ The benchmark is the stated query set, held against all rows in blocks of at mos
 each broadcast (a few dozen bytes a word); it is not a corpus and grows with no table.  Documents are
 neither shuffled nor joined.
 
+A text shorter than an item is one window itself, and is verified against every item of that length if
+enough of its shingles are in such items for the similarity; this misses none.
+
 SimHash misses a pair whose fingerprints differ in more than the radius.  At similarity 0.8 two
 fingerprints differ in 9.7 bits on average with a deviation of 2.9, so 22 bits are over four deviations.
 
@@ -167,6 +170,7 @@ class Index:
             items = self.of_length[length]
             last = len(words) - length  # the last start of a window
             if last < 0:
+                self._whole(items, words, len(places), best)
                 continue
             # windows that overlap a shared shingle, as runs of starts
             low = np.maximum(places + items.size - length, 0)
@@ -178,7 +182,18 @@ class Index:
                 for start in range(first, end + 1, REGION_WORDS):
                     self._windows(items, words, start, min(end, start + REGION_WORDS - 1), best)
         ids = self.of_length
-        return sorted((ids[length].ids[place], s, -at, length) for (length, place), (s, at) in best.items())
+        return sorted((ids[length].ids[place], s, -at, min(length, len(words))) for (length, place), (s, at) in best.items())
+
+    @staticmethod
+    def _whole(items: Items, words: list[bytes], known: int, best: dict) -> None:
+        """The whole text as the window, where it is shorter than the items; ``known`` of its shingles are in one of them."""
+        if known < SIMILARITY * (items.length - items.size + 1):
+            return
+        own = Counter(_hashes(words, items.size).tolist())
+        for place, shingles in enumerate(items.shingles):
+            found = similarity(own, shingles)
+            if found >= SIMILARITY:
+                best[items.length, place] = (found, 0)
 
     @staticmethod
     def _windows(items: Items, words: list[bytes], first: int, last: int, best: dict) -> None:

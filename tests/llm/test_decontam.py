@@ -87,3 +87,14 @@ def test_odd_rows(spark, odd, empty, sf_dir):
     assert kept.columns == odd.columns and kept.count() == odd.count()
     assert decontam.matches(empty, b).count() == 0 and decontam.matches(odd, b.limit(0)).count() == 0
     assert decontam.without(odd, b.limit(0)).count() == odd.count()
+
+
+def test_text_shorter_than_the_item(spark):
+    words = [f"w{i}" for i in range(30)]
+    items = [(1, " ".join(words)), (2, " ".join(f"v{i}" for i in range(9))), (3, "one two three")]
+    docs = [(0, " ".join(words[:29])), (1, " ".join(words[3:28])), (2, " ".join(words[:24])), (3, " ".join(f"v{i}" for i in range(8))), (4, " ".join(f"v{i}" for i in range(1, 8))), (5, "one two"), (6, " ".join(words[:25]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, 1): (25 / 26, 0, 29), (1, 1): (21 / 26, 0, 25), (3, 2): (0.8, 0, 8), (6, 1): (21 / 26, 0, 25)}
+    assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"], r["n_words"]) for r in decontam.matches(d, b).collect()} == want
+    assert {r["doc_id"] for r in decontam.without(d, b).collect()} == {2, 4, 5}
