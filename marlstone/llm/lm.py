@@ -5,8 +5,9 @@ reads, packs hashes and counts by segment of the hash, and only these packed blo
 word in every text costs a row a task.  A count c is quantised to level 1 + floor(log2 c); an n-gram of
 level q goes into the filter once for each level up to q, and a reader probes level 1, 2, ... until one
 is missing.  The filter has one part for each segment, built where the segment's counts are; its size is
-``BITS_AN_ENTRY`` for each insertion and at most ``MAX_FILTER_BYTES``, which bounds the broadcast (beyond
-that size probes find more false members; nothing is left out).  Pairs seen once are not inserted; they
+``BITS_AN_ENTRY`` for each insertion, so it grows with them and errs alike at every size.  Up to
+``MAX_FILTER_BYTES`` it is broadcast; beyond, each chunk of texts sends its distinct n-grams to the parts by
+a shuffle, salted by chunks, and gets their levels back (:func:`probed`), with the same scores.  Pairs seen once are not inserted; they
 score as unseen pairs.
 
 A token's probability given the one before mixes the pair's share of its first word with the smoothed
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,10 @@ SEGMENTS = 256
 FLUSH_TOKENS = 3_000_000
 BITS_AN_ENTRY = 10
 PROBES = 4
+#: Bytes of the filter up to which it is broadcast.
 MAX_FILTER_BYTES = 64 << 20
+#: Bytes of text that ask for their n-grams together, and such chunks with one salt, where the filter is not broadcast; n-grams of a written row.
+CHUNK_BYTES, SALT_CHUNKS, ROW_NGRAMS = 6 << 20, 20_000, 1 << 19
 MAX_LEVEL = 48
 MIN_PAIR_COUNT = 2
 PAIR_WEIGHT = 0.4
@@ -162,8 +166,8 @@ def count(rows: DataFrame, text: str = "text") -> DataFrame:
             if place[0] == 2:
                 often = counts >= MIN_PAIR_COUNT
                 hashes, counts = hashes[often], counts[often]
-            if len(hashes):
-                yield from _emit(place[0], hashes, counts)
+            for at in range(0, len(hashes), ROW_NGRAMS):
+                yield from _emit(place[0], hashes[at : at + ROW_NGRAMS], counts[at : at + ROW_NGRAMS])
 
     counted = rows.select(F.col(text).alias("_text")).mapInArrow(partial, _COUNTED)
     return counted.repartition("order", "segment").sortWithinPartitions("order", "segment").mapInArrow(total, _COUNTED)
@@ -186,43 +190,53 @@ def _probes(hashes: np.ndarray, order: int, level: int, bits: int) -> Iterator[n
         yield (a + np.uint64(k) * step) % np.uint64(bits)
 
 
+def read_levels(flat: np.ndarray, base: np.ndarray, hashes: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """Levels by repeated probes of the parts of ``bits`` that start at the places ``base``."""
+    out = np.zeros(len(hashes), np.int64)
+    at = np.arange(len(hashes))
+    for level in range(1, MAX_LEVEL + 1):
+        own, start = hashes[at], base[at]
+        held = np.ones(len(at), bool)
+        for place in _probes(own, order, level, bits):
+            spot = place.astype(np.int64)
+            held &= (flat[start + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1 > 0
+        at = at[held]
+        if not len(at):
+            break
+        out[at] = level
+    return out
+
+
+def ngrams(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words with the end token, in order, and the place of each token and of the end token; distinct pairs, and the place of each token's."""
+    words, of_word = np.unique(np.append(hashes, END), return_inverse=True)
+    both, of_pair = np.unique(pairs(before(hashes, starts), hashes), return_inverse=True)
+    return words, of_word, both, of_pair
+
+
 @dataclass
 class Model:
-    """What scoring needs.  ``parts``: the filter, one row of bytes for each segment."""
+    """What scoring needs.  ``parts``: the filter, one row of bytes for each segment; where it is too large, ``table`` has it (segment, bits), a part in one row or more."""
 
-    parts: np.ndarray
+    parts: np.ndarray | None
     tokens: int
     words: int
+    table: DataFrame | None = None
 
     def count(self, hashes: np.ndarray, order: int) -> np.ndarray:
         """Quantised counts, by repeated probes."""
-        out = np.zeros(len(hashes), np.int64)
-        bits = self.parts.shape[1] * 8
-        flat, base = self.parts.ravel(), segment_of(hashes) * self.parts.shape[1]
-        at = np.arange(len(hashes))
-        for level in range(1, MAX_LEVEL + 1):
-            own, start = hashes[at], base[at]
-            held = np.ones(len(at), bool)
-            for place in _probes(own, order, level, bits):
-                spot = place.astype(np.int64)
-                held &= (flat[start + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1 > 0
-            at = at[held]
-            if not len(at):
-                break
-            out[at] = level
-        return LEVEL_VALUES[out]
-
-    def log10s(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token given the one before."""
-        words, of_word = np.unique(np.append(hashes, END), return_inverse=True)
-        counts = self.count(words, 1)
+        width = self.parts.shape[1]
+        return LEVEL_VALUES[read_levels(self.parts.ravel(), segment_of(hashes) * width, hashes, order, width * 8)]
+
+    def log10s(self, hashes: np.ndarray, starts: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """log10 probability of each token given the one before; ``known``: the levels of :func:`ngrams`, where they are not read from ``parts``."""
+        words, of_word, both, of_pair = ngrams(hashes, starts)
+        counts, both_counts = (self.count(words, 1), self.count(both, 2)) if known is None else (LEVEL_VALUES[x] for x in known)
         of_end, of_word = of_word[-1], of_word[:-1]
         of_first = np.empty_like(of_word)
         of_first[1:] = of_word[:-1]
         of_first[starts] = of_end
-        first, first_counts, word_counts = words[of_first], counts[of_first], counts[of_word]
-        both, of_pair = np.unique(pairs(first, hashes), return_inverse=True)
-        pair_counts = self.count(both, 2)[of_pair]
+        first_counts, word_counts, pair_counts = counts[of_first], counts[of_word], both_counts[of_pair]
         share = np.minimum(1.0, pair_counts / np.maximum(first_counts, np.maximum(pair_counts, 1.0)))
         smooth = (word_counts + 0.5) / (self.tokens + 0.5 * (self.words + 1))
         return np.log10(np.minimum(1.0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * smooth))
@@ -235,25 +249,126 @@ def build(counted: DataFrame) -> Model:
     words = next((r["n"] for r in sizes if r["order"] == 1), 0)
     total = next((r["t"] for r in stats if r["order"] == 1), 0)
     insertions = sum(r["i"] for r in stats)
-    width = max(8, min(MAX_FILTER_BYTES, math.ceil(insertions * BITS_AN_ENTRY / 8)) // SEGMENTS)
+    width = max(8, math.ceil(insertions * BITS_AN_ENTRY / 8 / SEGMENTS))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = None, None
         for batch in batches:
             for order, segment, n, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if segment != now:
+                    if now is not None:
+                        yield filled(now, bits)
+                    now, bits = segment, np.zeros(width, np.uint8)
                 hashes, counts = unpack(block, n)
-                own, bits = levels(counts), np.zeros(width * 8, bool)
+                own = levels(counts)
                 for level in range(1, int(own.max()) + 1):
                     for place in _probes(hashes[own >= level], order, level, width * 8):
-                        bits[place.astype(np.int64)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+                        np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        if now is not None:
+            yield filled(now, bits)
 
+    def filled(segment: int, bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
+
+    made = counted.mapInArrow(part, "segment int, bits binary")
+    if width * SEGMENTS > max(MAX_FILTER_BYTES, 8 * SEGMENTS):
+        return Model(None, total, words, cut(made, "filter"))
     parts = np.zeros((SEGMENTS, width), np.uint8)
-    # two rows of a part each for every segment: twice the filter's size at most
-    for row in counted.mapInArrow(part, "segment int, bits binary").toArrow().to_pylist():
+    # mostly two rows of a part each for every segment: twice the filter's size
+    for row in made.toArrow().to_pylist():
         parts[row["segment"]] |= np.frombuffer(row["bits"], np.uint8)
     return Model(parts, total, words)
 
 
+def probed(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows``, whose last column is ``_text``, with ``_score``, read from the filter where its parts are."""
+    shared = rows.sparkSession.sparkContext.broadcast(replace(model, table=None))
+    own = [T.StructField(f.name, f.dataType) for f in rows.schema]
+    n = len(own)
+    place = [T.StructField("_chunk", T.LongType()), T.StructField("_pos", T.LongType())]
+    ask = [*place, T.StructField("_order", T.IntegerType()), T.StructField("_segment", T.IntegerType()), T.StructField("_block", T.BinaryType())]
+    texts_last = 3  # in the place of an order
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 36
+        for batch in slices(batches, "_text", CHUNK_BYTES):
+            k = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([chunk] * k, pa.int64()), pa.array(range(k), pa.int64())], names=[f.name for f in (*own, *place)])
+            chunk += 1
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", CHUNK_BYTES):
+            chunks, pos = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], (np.diff(chunks) != 0) | (np.diff(pos) != 1), [True]))).tolist()
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                # rows that follow one another ask together, in the place of the first
+                words, _, both, _ = ngrams(*tokens(batch.column(0).slice(start, end - start).to_pylist()))
+                asked = []
+                for order, hashes in ((1, words), (2, both)):
+                    cuts = np.searchsorted(segment_of(hashes), np.arange(SEGMENTS + 1)).tolist()
+                    asked += [(int(chunks[start]), int(pos[start]), order, s, hashes[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                yield answer(asked)
+
+    def answer(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=[f.name for f in ask])
+
+    texts = cut(rows.mapInArrow(number, T.StructType([*own, *place])), "chunks")
+    ngram = texts.select("_text", "_chunk", "_pos").mapInArrow(send, T.StructType(ask))
+    salts = max(1, math.ceil(texts.select("_chunk").distinct().count() / SALT_CHUNKS))
+    salted = ngram.withColumn("_salt", F.pmod(F.xxhash64("_chunk"), F.lit(salts)))
+    parts = model.table.select(F.lit(-1).cast("long").alias("_chunk"), F.lit(0).cast("long").alias("_pos"), F.lit(0).alias("_order"), F.col("segment").alias("_segment"), F.col("bits").alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = None, None
+        for batch in batches:
+            found = []
+            for chunk, pos, order, segment, block, salt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (segment, salt) != now:
+                    now, bits = (segment, salt), None
+                if chunk < 0:  # the part comes first
+                    new = np.frombuffer(block, np.uint8)
+                    bits = new if bits is None else bits | new
+                    continue
+                hashes = np.frombuffer(block, np.uint64)
+                level = np.zeros(len(hashes), np.int64) if bits is None else read_levels(bits, np.zeros(len(hashes), np.int64), hashes, order, len(bits) * 8)
+                found.append((chunk, pos, order, segment, level.astype(np.uint8).tobytes()))
+            if found:
+                yield answer(found)
+
+    keys = ("_segment", "_salt")
+    answers = parts.unionByName(salted).repartition(*keys).sortWithinPartitions(*keys, "_chunk").mapInArrow(read, T.StructType(ask))
+    back = texts.withColumn("_order", F.lit(texts_last)).unionByName(answers, allowMissingColumns=True).select(*(f.name for f in (*own, *ask)))
+    done = T.StructType([*own, T.StructField("_score", T.DoubleType())])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, held = {1: [], 2: []}, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            orders = batch.column(n + 2).to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], np.diff(orders == texts_last), [True]))).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if orders[a] == texts_last:
+                    held.append(batch.slice(a, b - a).select(range(n)))
+                    continue
+                if held:  # levels after texts are those of the next texts
+                    yield from close(level, held)
+                    level, held = {1: [], 2: []}, []
+                for order, block in zip(orders[a:b].tolist(), batch.column(n + 4).slice(a, b - a).to_pylist(), strict=True):
+                    level[order].append(block)
+        yield from close(level, held)
+
+    def close(level: dict[int, list[bytes]], texts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if texts:
+            table = pa.concat_batches(texts)
+            hashes, starts = tokens(table.column(n - 1).to_pylist())
+            known = tuple(np.frombuffer(b"".join(level[order]), np.uint8) for order in (1, 2))
+            yield pa.RecordBatch.from_arrays([*table.columns, pa.array(np.add.reduceat(shared.value.log10s(hashes, starts, known), starts))], names=done.names)
+
+    return back.repartition("_chunk").sortWithinPartitions("_chunk", "_pos", "_order", "_segment").mapInArrow(finish, done)
+
+
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -289,13 +404,19 @@ def score(documents: DataFrame, trained: tuple[DataFrame, Model], text: str = "t
     """The ``carry`` columns, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row."""
     counted, model = trained
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(replace(model, table=None))
     kept = [documents.schema[c] for c in carry]
     n = len(kept)
     own = [T.StructField(f.name, f.dataType) for f in kept]
     numbers = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
     rows = documents.select(*carry, F.col(text).alias("_text"))
     words = counted.where("order = 1")
+    if model.table is not None:
+        rows = probed(rows, model)
+
+    def scored(batch: pa.RecordBatch, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return batch.column(n + 1).to_numpy() if batch.num_columns > n + 1 else np.add.reduceat(shared.value.log10s(hashes, starts), starts)
+
 
     if model.words <= most:
         keys, counts = np.empty(model.words, np.uint64), np.empty(model.words, np.int64)
@@ -310,7 +431,7 @@ def score(documents: DataFrame, trained: tuple[DataFrame, Model], text: str = "t
                 hashes, starts = tokens(batch.column(n).to_pylist())
                 exact = _exact(hashes, table.value).astype(np.int64)
                 sums = [np.diff(np.append(starts, len(hashes))), np.add.reduceat((exact > 0).astype(np.int64), starts), np.full(len(starts), shared.value.tokens)]
-                sums += [np.add.reduceat(_base(exact, shared.value), starts), np.add.reduceat(shared.value.log10s(hashes, starts), starts)]
+                sums += [np.add.reduceat(_base(exact, shared.value), starts), scored(batch, hashes, starts)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *map(pa.array, sums)], names=[f.name for f in (*own, *numbers)])
 
         return rows.mapInArrow(run, T.StructType([*own, *numbers]))
@@ -325,7 +446,7 @@ def score(documents: DataFrame, trained: tuple[DataFrame, Model], text: str = "t
         row = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "_text", 1 << 20):
             hashes, starts = tokens(batch.column(n).to_pylist())
-            scores = np.add.reduceat(shared.value.log10s(hashes, starts), starts)
+            scores = scored(batch, hashes, starts)
             ends = np.append(starts, len(hashes))
             at, out = [], {k: [] for k in ("row", "n_tokens", "score", "slice", "n", "block")}
             for i in range(len(starts)):

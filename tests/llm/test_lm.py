@@ -89,3 +89,19 @@ def test_odd_rows(odd, empty):
     untrained = lm.train(empty)
     rows = lm.score(odd, untrained).collect()
     assert len(rows) == odd.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in rows)
+
+
+def test_filter_too_large_to_broadcast(spark, sf_dir, monkeypatch):
+    rows = queries.documents(spark, sf_dir).withColumn("held_out", lm.held_out(queries.F.col("doc_id")))
+    trained = lm.train(rows.where("not held_out"))
+    whole = {r["doc_id"]: r.asDict() for r in lm.score(rows, trained, carry=("doc_id", "held_out")).collect()}
+    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", 4096)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "SALT_CHUNKS", 3)
+    monkeypatch.setattr(lm, "ROW_NGRAMS", 100)
+    counted, model = lm.train(rows.where("not held_out"))
+    assert model.parts is None
+    for most in (lm.MAX_TABLE_ENTRIES, 100):
+        got = lm.score(rows, (counted, model), carry=("doc_id", "held_out"), most=most).collect()
+        assert len(got) == len(whole)
+        assert all(r["score"] == pytest.approx(whole[r["doc_id"]]["score"], rel=1e-9) and r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"]) for r in got)
