@@ -7,8 +7,8 @@ level q goes into the filter once for each level up to q, and a reader probes le
 is missing.  The filter has one part for each segment, built where the segment's counts are; its size is
 ``BITS_AN_ENTRY`` for each insertion, so it grows with them and errs alike at every size.  Up to
 ``MAX_FILTER_BYTES`` it is broadcast; beyond, each chunk of texts sends its distinct n-grams to the parts by
-a shuffle, salted by chunks, and gets their levels back (:func:`probed`), with the same scores.  Pairs seen once are not inserted; they
-score as unseen pairs.
+a shuffle, salted by chunks, and gets their levels back (:func:`probed`), with the same scores.  Every pair is inserted, those seen
+once at level 1.
 
 A token's probability given the one before mixes the pair's share of its first word with the smoothed
 share of the word, both from probes.  The base score takes exact counts of words instead.  Up to
@@ -49,7 +49,8 @@ MAX_FILTER_BYTES = 64 << 20
 #: Bytes of text that ask for their n-grams together, and such chunks with one salt, where the filter is not broadcast; n-grams of a written row.
 CHUNK_BYTES, SALT_CHUNKS, ROW_NGRAMS = 6 << 20, 20_000, 1 << 19
 MAX_LEVEL = 48
-MIN_PAIR_COUNT = 2
+#: Count from which pairs are inserted: all are.
+MIN_PAIR_COUNT = 1
 PAIR_WEIGHT = 0.4
 MAX_TABLE_ENTRIES = 8_000_000
 #: Distinct words of a slice, and rows of texts with one salt, where the table is not broadcast.
@@ -130,7 +131,7 @@ def _emit(order: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.Rec
 
 
 def count(rows: DataFrame, text: str = "text") -> DataFrame:
-    """For each order (1: words, 2: pairs seen ``MIN_PAIR_COUNT`` times or more) and segment the sorted hashes with their counts."""
+    """For each order (1: words, 2: pairs) and segment the sorted hashes with their counts."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -163,9 +164,6 @@ def count(rows: DataFrame, text: str = "text") -> DataFrame:
     def close(place: tuple[int, int] | None, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if held:
             hashes, counts = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            if place[0] == 2:
-                often = counts >= MIN_PAIR_COUNT
-                hashes, counts = hashes[often], counts[often]
             for at in range(0, len(hashes), ROW_NGRAMS):
                 yield from _emit(place[0], hashes[at : at + ROW_NGRAMS], counts[at : at + ROW_NGRAMS])
 

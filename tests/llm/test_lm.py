@@ -105,3 +105,10 @@ def test_filter_too_large_to_broadcast(spark, sf_dir, monkeypatch):
         got = lm.score(rows, (counted, model), carry=("doc_id", "held_out"), most=most).collect()
         assert len(got) == len(whole)
         assert all(r["score"] == pytest.approx(whole[r["doc_id"]]["score"], rel=1e-9) and r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"]) for r in got)
+
+
+def test_pairs_seen_once_are_held(spark):
+    docs = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(500)))], "doc_id long, text string")
+    model = lm.train(docs)[1]
+    words = np.array([lm.xxhash.xxh64_intdigest(f"w{i}") for i in range(500)], np.uint64)
+    assert (model.count(lm.pairs(words[:-1], words[1:]), 2) >= 1).all()
