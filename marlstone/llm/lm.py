@@ -2,31 +2,38 @@
 
 Training counts words and pairs of neighbouring words over all training rows.  A task sums what it
 reads, packs hashes and counts by segment of the hash, and only these packed blocks are shuffled, so a
-word in every text costs a row a task.  A count c is quantised to level 1 + floor(log2 c); an n-gram of
-level q goes into the filter once for each level up to q, and a reader probes level 1, 2, ... until one
-is missing.  The filter has one part for each segment, built where the segment's counts are; its size is
-``BITS_AN_ENTRY`` for each insertion, so it grows with them and errs alike at every size.  Up to
-``MAX_FILTER_BYTES`` it is broadcast; beyond, each chunk of texts sends its distinct n-grams to the parts by
-a shuffle, salted by chunks, and gets their levels back (:func:`probed`), with the same scores.  Every pair is inserted, those seen
-once at level 1.
+word in every text costs a row a task.  There are as many segments as keep ``SEGMENT_BYTES`` of training
+text in each, so what a task sums at a time does not grow with the corpus (up to ``MAX_SEGMENTS``).  A count
+c is quantised to level 1 + floor(log2 c); an n-gram of level q goes into the filter once for each level up
+to q, and a reader probes level 1, 2, ... until one is missing.  The filter has one part for each segment,
+built where the segment's counts are, of ``BITS_AN_ENTRY`` bits for each insertion: it grows with the
+insertions and errs alike at every size (a missing n-gram passes a level with a chance of 1.2 %).  All
+pairs are inserted, those seen once at level 1.
 
 A token's probability given the one before mixes the pair's share of its first word with the smoothed
-share of the word, both from probes.  The base score takes exact counts of words instead.  Up to
-``MAX_TABLE_ENTRIES`` distinct words their hashes and counts (12 bytes each) are broadcast; beyond, texts
-meet the table by a shuffle over slices of hashes, salted by rows, with nothing held but a slice.
+share of the word, both from probes.  The base score takes exact counts of words instead, which each
+segment keeps beside its part.
 
-Words are compared by 64-bit hashes: among four million words two share one with a chance of 1 in two
-million.
+The parts are broadcast to the workers where they have ``MAX_FILTER_BYTES`` at most, and words
+``MAX_TABLE_ENTRIES`` at most (12 bytes each).  Beyond, the same probes are made where the parts are: chunks
+of texts, packed, are dealt once; each sends its distinct n-grams to the segments, salted by chunks, and
+meets the answers where it lies, so the texts move once (:func:`asked`).  The scores are the same.
+
+Words are compared by 64-bit hashes (among four million words two share one with a chance of 1 in two
+million), pairs by 56 bits, in which a stranger is taken for one of a billion pairs with a chance of 1 in
+70 million, far below what the filter errs.
 
 Defined cases: null and empty texts have the end token only; with no training row all counts are 0 and
-N is 0; repeated rows count each; columns besides those asked for are not carried.
+N is 0; repeated rows count each; columns besides those asked for are not carried, and names of carried
+columns must differ from those of the results.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +46,20 @@ from pyspark.sql import types as T
 from ..scratch import cut
 from .batches import lower_words, slices
 
-SEGMENTS = 256
+#: Training text of a segment, and bounds of the number of segments (powers of two).
+SEGMENT_BYTES, MIN_SEGMENTS, MAX_SEGMENTS = 16 << 20, 256, 1 << 14
 #: Tokens that a task sums at a time.
 FLUSH_TOKENS = 3_000_000
 BITS_AN_ENTRY = 10
 PROBES = 4
-#: Bytes of the filter up to which it is broadcast.
-MAX_FILTER_BYTES = 64 << 20
-#: Bytes of text that ask for their n-grams together, and such chunks with one salt, where the filter is not broadcast; n-grams of a written row.
-CHUNK_BYTES, SALT_CHUNKS, ROW_NGRAMS = 6 << 20, 20_000, 1 << 19
+#: Bytes of the filter, and distinct words, up to which the model is broadcast.
+MAX_FILTER_BYTES, MAX_TABLE_ENTRIES = 64 << 20, 8_000_000
+#: Bytes of text that ask for their n-grams together, and text whose chunks ask one copy of a part, where the model is not broadcast.
+CHUNK_BYTES, SALT_BYTES = 4 << 20, 100 << 30
 MAX_LEVEL = 48
-#: Count from which pairs are inserted: all are.
-MIN_PAIR_COUNT = 1
 PAIR_WEIGHT = 0.4
-MAX_TABLE_ENTRIES = 8_000_000
-#: Distinct words of a slice, and rows of texts with one salt, where the table is not broadcast.
-SLICE_ENTRIES, SALT_ROWS = 1_000_000, 500_000
+#: Bits of the hashes of words (1) and pairs (2).
+HASH_BITS = {1: 64, 2: 56}
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: The end token: the hash of what can be no word.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -92,83 +97,48 @@ def before(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _stir(first * _M3 + second)
+    return _stir(first * _M3 + second) >> np.uint64(64 - HASH_BITS[2])
+
+
+def segment_of(hashes: np.ndarray, order: int, segments: int) -> np.ndarray:
+    """The highest bits of a hash."""
+    return (hashes >> np.uint64(HASH_BITS[order] - segments.bit_length() + 1)).astype(np.int64)
 
 
-def segment_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(56)).astype(np.int64)
+def by_segment(hashes: np.ndarray, order: int, segments: int) -> list[int]:
+    """Where each segment starts in ascending hashes, and the end."""
+    return np.searchsorted(segment_of(hashes, order, segments), np.arange(segments + 1)).tolist()
 
 
-def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Hashes, then counts in 4 bytes each, or in 8 where one is too large."""
-    narrow = not len(counts) or counts.max() < 1 << 32
-    return hashes.astype("<u8").tobytes() + counts.astype("<u4" if narrow else "<i8").tobytes()
+def pack(hashes: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """Ascending hashes as the first and the gaps, in as many bytes as the widest needs; then counts in 1, 4 or 8 bytes."""
+    gaps = np.diff(hashes)
+    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    wide = 0 if counts is None else next(w for w in (1, 4, 8) if int(counts.max()) < 1 << 8 * w)
+    body = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return struct.pack("<QBB", int(hashes[0]), width, wide) + body + (counts.astype(f"<u{wide}").tobytes() if wide else b"")
 
 
-def unpack(block: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    wide = len(block) == 16 * n
-    return np.frombuffer(block, "<u8", n), np.frombuffer(block, "<i8" if wide else "<u4", n, 8 * n).astype(np.int64)
+def unpack(block: bytes, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The ``n`` hashes of a block, and their counts."""
+    first, width, wide = struct.unpack_from("<QBB", block)
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[1:, :width] = np.frombuffer(block, np.uint8, (n - 1) * width, 10).reshape(n - 1, width)
+    hashes = gaps.view("<u8").ravel()
+    hashes[0] = first
+    np.cumsum(hashes, out=hashes)
+    return hashes, np.frombuffer(block, f"<u{wide}", n, 10 + (n - 1) * width).astype(np.int64) if wide else None
 
 
-def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order, with the sums of their counts."""
+    if not held:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    hashes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(hashes, kind="stable")
     hashes, counts = hashes[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
-    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-_COUNTED = "order int, segment int, n long, block binary"
-
-
-def _emit(order: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each segment of sorted hashes; segments are their highest bits."""
-    edges = np.searchsorted(segment_of(hashes), np.arange(SEGMENTS + 1))
-    found = [s for s in range(SEGMENTS) if edges[s] < edges[s + 1]]
-    sizes = [int(edges[s + 1] - edges[s]) for s in found]
-    blocks = [pack(hashes[edges[s] : edges[s + 1]], counts[edges[s] : edges[s + 1]]) for s in found]
-    yield pa.RecordBatch.from_arrays([pa.array([order] * len(found), pa.int32()), pa.array(found, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())], names=["order", "segment", "n", "block"])
-
-
-def count(rows: DataFrame, text: str = "text") -> DataFrame:
-    """For each order (1: words, 2: pairs) and segment the sorted hashes with their counts."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in slices(batches, "_text"):
-            hashes, starts = tokens(batch.column(0).to_pylist())
-            held.append((hashes, pairs(before(hashes, starts), hashes)))
-            size += len(hashes)
-            if size >= FLUSH_TOKENS:
-                yield from flush(held)
-                held, size = [], 0
-        if held:
-            yield from flush(held)
-
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for order in (1, 2):
-            found, n = np.unique(np.concatenate([h[order - 1] for h in held]), return_counts=True)
-            yield from _emit(order, found, n)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, []
-        for batch in batches:
-            for order, segment, n, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (order, segment) != place:
-                    yield from close(place, held)
-                    place, held = (order, segment), []
-                held.append(unpack(block, n))
-        yield from close(place, held)
-
-    def close(place: tuple[int, int] | None, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if held:
-            hashes, counts = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            for at in range(0, len(hashes), ROW_NGRAMS):
-                yield from _emit(place[0], hashes[at : at + ROW_NGRAMS], counts[at : at + ROW_NGRAMS])
-
-    counted = rows.select(F.col(text).alias("_text")).mapInArrow(partial, _COUNTED)
-    return counted.repartition("order", "segment").sortWithinPartitions("order", "segment").mapInArrow(total, _COUNTED)
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    return hashes[first], np.add.reduceat(counts, first)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -180,24 +150,34 @@ def levels(counts: np.ndarray) -> np.ndarray:
 LEVEL_VALUES = np.array([0.0, 1.0, *(1.5 * 2.0 ** (q - 1) for q in range(2, MAX_LEVEL + 1))])
 
 
-def _probes(hashes: np.ndarray, order: int, level: int, bits: int) -> Iterator[np.ndarray]:
+def _probes(hashes: np.ndarray, order: int, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     """Bit places, within its segment's part, of an n-gram at a level."""
     a = _stir(hashes + np.uint64((order * 64 + level) * int(_M3) & 0xFFFFFFFFFFFFFFFF))
     step = (a >> np.uint64(32)) | np.uint64(1)
     for k in range(PROBES):
-        yield (a + np.uint64(k) * step) % np.uint64(bits)
+        yield ((a + np.uint64(k) * step) % np.uint64(bits) if isinstance(bits, int) else (a + np.uint64(k) * step) % bits).astype(np.int64)
 
 
-def read_levels(flat: np.ndarray, base: np.ndarray, hashes: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Levels by repeated probes of the parts of ``bits`` that start at the places ``base``."""
-    out = np.zeros(len(hashes), np.int64)
-    at = np.arange(len(hashes))
+def part_of(counted: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A segment's part of the filter, as bytes, from the hashes and counts of each order."""
+    quantised = {order: levels(counts) for order, (_, counts) in counted.items()}
+    bits = np.zeros(8 * max(8, math.ceil(sum(int(q.sum()) for q in quantised.values()) * BITS_AN_ENTRY / 8)), bool)
+    for order, (hashes, _) in counted.items():
+        for level in range(1, int(quantised[order].max(initial=0)) + 1):
+            for place in _probes(hashes[quantised[order] >= level], order, level, len(bits)):
+                bits[place] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def read_levels(flat: np.ndarray, base: np.ndarray, bits: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarray:
+    """Levels by repeated probes of the parts with ``bits`` bits that start at the bytes ``base``; 0 where a part has none."""
+    out = np.zeros(len(hashes), np.uint8)
+    at = np.flatnonzero(bits)
+    bits = bits.astype(np.uint64)
     for level in range(1, MAX_LEVEL + 1):
-        own, start = hashes[at], base[at]
         held = np.ones(len(at), bool)
-        for place in _probes(own, order, level, bits):
-            spot = place.astype(np.int64)
-            held &= (flat[start + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1 > 0
+        for spot in _probes(hashes[at], order, level, bits[at]):
+            held &= (flat[base[at] + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1 > 0
         at = at[held]
         if not len(at):
             break
@@ -205,296 +185,232 @@ def read_levels(flat: np.ndarray, base: np.ndarray, hashes: np.ndarray, order: i
     return out
 
 
-def ngrams(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words with the end token, in order, and the place of each token and of the end token; distinct pairs, and the place of each token's."""
-    words, of_word = np.unique(np.append(hashes, END), return_inverse=True)
-    both, of_pair = np.unique(pairs(before(hashes, starts), hashes), return_inverse=True)
-    return words, of_word, both, of_pair
+def exact_counts(words: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of words, 0 where ``keys``, which ascend, lack them."""
+    if not len(keys):
+        return np.zeros(len(words), np.int64)
+    place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+    return np.where(keys[place] == words, counts[place], 0).astype(np.int64)
+
+
+class Ngrams:
+    """The distinct words, with the end token, and pairs of texts, in order, and the place of each token's."""
+
+    def __init__(self, texts: Sequence[str | None]) -> None:
+        hashes, self.starts = tokens(texts)
+        self.words, of_word = np.unique(np.append(hashes, END), return_inverse=True)
+        self.pairs, self.of_pair = np.unique(pairs(before(hashes, self.starts), hashes), return_inverse=True)
+        self.of_end, self.of_word = of_word[-1], of_word[:-1]
 
 
 @dataclass
 class Model:
-    """What scoring needs.  ``parts``: the filter, one row of bytes for each segment; where it is too large, ``table`` has it (segment, bits), a part in one row or more."""
+    """What scoring needs.  The parts of the filter lie in ``flat``, and ``keys`` has the words; where these are too large ``table`` has both by segment."""
 
-    parts: np.ndarray | None
+    segments: int
     tokens: int
     words: int
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
+    base: np.ndarray | None = None
+    width: np.ndarray | None = None
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     table: DataFrame | None = None
 
-    def count(self, hashes: np.ndarray, order: int) -> np.ndarray:
+    def level(self, hashes: np.ndarray, order: int) -> np.ndarray:
         """Quantised counts, by repeated probes."""
-        width = self.parts.shape[1]
-        return LEVEL_VALUES[read_levels(self.parts.ravel(), segment_of(hashes) * width, hashes, order, width * 8)]
-
-    def log10s(self, hashes: np.ndarray, starts: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """log10 probability of each token given the one before; ``known``: the levels of :func:`ngrams`, where they are not read from ``parts``."""
-        words, of_word, both, of_pair = ngrams(hashes, starts)
-        counts, both_counts = (self.count(words, 1), self.count(both, 2)) if known is None else (LEVEL_VALUES[x] for x in known)
-        of_end, of_word = of_word[-1], of_word[:-1]
-        of_first = np.empty_like(of_word)
-        of_first[1:] = of_word[:-1]
-        of_first[starts] = of_end
-        first_counts, word_counts, pair_counts = counts[of_first], counts[of_word], both_counts[of_pair]
-        share = np.minimum(1.0, pair_counts / np.maximum(first_counts, np.maximum(pair_counts, 1.0)))
-        smooth = (word_counts + 0.5) / (self.tokens + 0.5 * (self.words + 1))
+        place = segment_of(hashes, order, self.segments)
+        return read_levels(self.flat, self.base[place], self.width[place] * 8, hashes, order)
+
+    def shares(self) -> Model:
+        """The model without its table."""
+        return Model(self.segments, self.tokens, self.words, self.flat, self.base, self.width, self.keys, self.counts)
+
+    def log10s(self, found: Ngrams, word_levels: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
+        """log10 probability of each token given the one before."""
+        counts = LEVEL_VALUES[word_levels]
+        of_first = np.empty_like(found.of_word)
+        of_first[1:] = found.of_word[:-1]
+        of_first[found.starts] = found.of_end
+        pair_counts = LEVEL_VALUES[pair_levels][found.of_pair]
+        share = np.minimum(1.0, pair_counts / np.maximum(counts[of_first], np.maximum(pair_counts, 1.0)))
+        smooth = (counts[found.of_word] + 0.5) / (self.tokens + 0.5 * (self.words + 1))
         return np.log10(np.minimum(1.0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * smooth))
 
+    def results(self, found: Ngrams, word_levels: np.ndarray, pair_levels: np.ndarray, exact: np.ndarray) -> list[pa.Array]:
+        """The columns of ``NUMBERS`` for each text."""
+        starts, own = found.starts, exact[found.of_word]
+        base = np.log10((own + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
+        sums = [np.diff(np.append(starts, len(own))), np.add.reduceat((own > 0).astype(np.int64), starts), np.full(len(starts), self.tokens, np.int64)]
+        return [pa.array(x) for x in (*sums, np.add.reduceat(base, starts), np.add.reduceat(self.log10s(found, word_levels, pair_levels), starts))]
 
-def build(counted: DataFrame) -> Model:
-    """The model from a written table of :func:`count`."""
-    sizes = counted.groupBy("order").agg(F.sum("n").alias("n")).collect()
-    stats = counted.mapInArrow(_stats, "order int, segment int, insertions long, total long").groupBy("order").agg(F.sum("insertions").alias("i"), F.sum("total").alias("t"), F.max("insertions").alias("m")).collect()
-    words = next((r["n"] for r in sizes if r["order"] == 1), 0)
-    total = next((r["t"] for r in stats if r["order"] == 1), 0)
-    insertions = sum(r["i"] for r in stats)
-    width = max(8, math.ceil(insertions * BITS_AN_ENTRY / 8 / SEGMENTS))
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = None, None
-        for batch in batches:
-            for order, segment, n, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if segment != now:
-                    if now is not None:
-                        yield filled(now, bits)
-                    now, bits = segment, np.zeros(width, np.uint8)
-                hashes, counts = unpack(block, n)
-                own = levels(counts)
-                for level in range(1, int(own.max()) + 1):
-                    for place in _probes(hashes[own >= level], order, level, width * 8):
-                        np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
-        if now is not None:
-            yield filled(now, bits)
-
-    def filled(segment: int, bits: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
-
-    made = counted.mapInArrow(part, "segment int, bits binary")
-    if width * SEGMENTS > max(MAX_FILTER_BYTES, 8 * SEGMENTS):
-        return Model(None, total, words, cut(made, "filter"))
-    parts = np.zeros((SEGMENTS, width), np.uint8)
-    # mostly two rows of a part each for every segment: twice the filter's size
-    for row in made.toArrow().to_pylist():
-        parts[row["segment"]] |= np.frombuffer(row["bits"], np.uint8)
-    return Model(parts, total, words)
-
-
-def probed(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows``, whose last column is ``_text``, with ``_score``, read from the filter where its parts are."""
-    shared = rows.sparkSession.sparkContext.broadcast(replace(model, table=None))
-    own = [T.StructField(f.name, f.dataType) for f in rows.schema]
-    n = len(own)
-    place = [T.StructField("_chunk", T.LongType()), T.StructField("_pos", T.LongType())]
-    ask = [*place, T.StructField("_order", T.IntegerType()), T.StructField("_segment", T.IntegerType()), T.StructField("_block", T.BinaryType())]
-    texts_last = 3  # in the place of an order
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 36
-        for batch in slices(batches, "_text", CHUNK_BYTES):
-            k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([chunk] * k, pa.int64()), pa.array(range(k), pa.int64())], names=[f.name for f in (*own, *place)])
-            chunk += 1
+NUMBERS = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+_COUNTED = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("order", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("block", T.BinaryType())])
+_TRAINED = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("words", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("known", T.BinaryType()), T.StructField("bits", T.BinaryType())])
+_ASKED = T.StructType([T.StructField("_segment", T.IntegerType()), T.StructField("_salt", T.IntegerType()), T.StructField("_chunk", T.LongType()), *(T.StructField(c, t) for c, t in (("_n1", T.LongType()), ("_n2", T.LongType()), ("_words", T.BinaryType()), ("_pairs", T.BinaryType())))])
+_ANSWERED = T.StructType([T.StructField("_chunk", T.LongType()), T.StructField("_segment", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("_levels1", "_levels2", "_exact"))])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", CHUNK_BYTES):
-            chunks, pos = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            edges = np.flatnonzero(np.concatenate(([True], (np.diff(chunks) != 0) | (np.diff(pos) != 1), [True]))).tolist()
-            for start, end in zip(edges[:-1], edges[1:], strict=True):
-                # rows that follow one another ask together, in the place of the first
-                words, _, both, _ = ngrams(*tokens(batch.column(0).slice(start, end - start).to_pylist()))
-                asked = []
-                for order, hashes in ((1, words), (2, both)):
-                    cuts = np.searchsorted(segment_of(hashes), np.arange(SEGMENTS + 1)).tolist()
-                    asked += [(int(chunks[start]), int(pos[start]), order, s, hashes[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-                yield answer(asked)
-
-    def answer(found: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=[f.name for f in ask])
-
-    texts = cut(rows.mapInArrow(number, T.StructType([*own, *place])), "chunks")
-    ngram = texts.select("_text", "_chunk", "_pos").mapInArrow(send, T.StructType(ask))
-    salts = max(1, math.ceil(texts.select("_chunk").distinct().count() / SALT_CHUNKS))
-    salted = ngram.withColumn("_salt", F.pmod(F.xxhash64("_chunk"), F.lit(salts)))
-    parts = model.table.select(F.lit(-1).cast("long").alias("_chunk"), F.lit(0).cast("long").alias("_pos"), F.lit(0).alias("_order"), F.col("segment").alias("_segment"), F.col("bits").alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = None, None
-        for batch in batches:
-            found = []
-            for chunk, pos, order, segment, block, salt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (segment, salt) != now:
-                    now, bits = (segment, salt), None
-                if chunk < 0:  # the part comes first
-                    new = np.frombuffer(block, np.uint8)
-                    bits = new if bits is None else bits | new
-                    continue
-                hashes = np.frombuffer(block, np.uint64)
-                level = np.zeros(len(hashes), np.int64) if bits is None else read_levels(bits, np.zeros(len(hashes), np.int64), hashes, order, len(bits) * 8)
-                found.append((chunk, pos, order, segment, level.astype(np.uint8).tobytes()))
-            if found:
-                yield answer(found)
-
-    keys = ("_segment", "_salt")
-    answers = parts.unionByName(salted).repartition(*keys).sortWithinPartitions(*keys, "_chunk").mapInArrow(read, T.StructType(ask))
-    back = texts.withColumn("_order", F.lit(texts_last)).unionByName(answers, allowMissingColumns=True).select(*(f.name for f in (*own, *ask)))
-    done = T.StructType([*own, T.StructField("_score", T.DoubleType())])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, held = {1: [], 2: []}, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            orders = batch.column(n + 2).to_numpy()
-            edges = np.flatnonzero(np.concatenate(([True], np.diff(orders == texts_last), [True]))).tolist()
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if orders[a] == texts_last:
-                    held.append(batch.slice(a, b - a).select(range(n)))
-                    continue
-                if held:  # levels after texts are those of the next texts
-                    yield from close(level, held)
-                    level, held = {1: [], 2: []}, []
-                for order, block in zip(orders[a:b].tolist(), batch.column(n + 4).slice(a, b - a).to_pylist(), strict=True):
-                    level[order].append(block)
-        yield from close(level, held)
 
-    def close(level: dict[int, list[bytes]], texts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if texts:
-            table = pa.concat_batches(texts)
-            hashes, starts = tokens(table.column(n - 1).to_pylist())
-            known = tuple(np.frombuffer(b"".join(level[order]), np.uint8) for order in (1, 2))
-            yield pa.RecordBatch.from_arrays([*table.columns, pa.array(np.add.reduceat(shared.value.log10s(hashes, starts, known), starts))], names=done.names)
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
 
-    return back.repartition("_chunk").sortWithinPartitions("_chunk", "_pos", "_order", "_segment").mapInArrow(finish, done)
 
+def text_bytes(rows: DataFrame, text: str = "text") -> int:
+    return rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for order, segment, n, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts = unpack(block, n)[1]
-            rows.append((order, segment, int(levels(counts).sum()), int(counts.sum())))
-        if rows:
-            a, b, c, d = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], names=["order", "segment", "insertions", "total"])
 
+def segments_for(size: int) -> int:
+    """Segments for so many bytes of training text."""
+    return min(MAX_SEGMENTS, max(MIN_SEGMENTS, 1 << max(0, math.ceil(size / SEGMENT_BYTES) - 1).bit_length()))
 
-def train(rows: DataFrame, text: str = "text") -> tuple[DataFrame, Model]:
-    """The written table of counts and the model."""
-    counted = cut(count(rows, text), "ngrams")
-    return counted, build(counted)
 
+def count(rows: DataFrame, segments: int, text: str = "text") -> DataFrame:
+    """For each segment its distinct ``words``, training ``tokens``, ``known`` (hashes and counts of the words) and ``bits`` (the part of the filter)."""
 
-def _exact(hashes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Exact counts of token hashes."""
-    keys, counts = table
-    words, of_word = np.unique(hashes, return_inverse=True)
-    if not len(keys):
-        return np.zeros(len(hashes), np.int64)
-    place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-    return np.where(keys[place] == words, counts[place], 0)[of_word]
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in slices(batches, "_text"):
+            hashes, starts = tokens(batch.column(0).to_pylist())
+            held.append((hashes, pairs(before(hashes, starts), hashes)))
+            size += len(hashes)
+            if size >= FLUSH_TOKENS:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
 
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        rows = []
+        for order in (1, 2):
+            found, n = np.unique(np.concatenate([h[order - 1] for h in held]), return_counts=True)
+            edges = by_segment(found, order, segments)
+            rows += [(s, order, b - a, pack(found[a:b], n[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+        return _batch(rows, _COUNTED)
 
-def _base(counts: np.ndarray, model: Model) -> np.ndarray:
-    return np.log10((counts + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {1: [], 2: []}
+        for batch in batches:
+            for segment, order, n, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if segment != now and now is not None:
+                    yield close(now, held)
+                    held = {1: [], 2: []}
+                now = segment
+                held[order].append(unpack(block, n))
+        if now is not None:
+            yield close(now, held)
 
+    def close(segment: int, held: dict[int, list]) -> pa.RecordBatch:
+        counted = {order: summed(found) for order, found in held.items()}
+        words, counts = counted[1]
+        return _batch([(segment, len(words), int(counts.sum()), pack(words, counts) if len(words) else None, part_of(counted).tobytes())], _TRAINED)
 
-def score(documents: DataFrame, trained: tuple[DataFrame, Model], text: str = "text", carry: Sequence[str] = ("doc_id",), most: int = MAX_TABLE_ENTRIES) -> DataFrame:
+    counted = rows.select(F.col(text).alias("_text")).mapInArrow(partial, _COUNTED)
+    return counted.repartition("segment").sortWithinPartitions("segment", "order").mapInArrow(total, _TRAINED)
+
+
+def train(rows: DataFrame, text: str = "text") -> Model:
+    """The model of all ``rows``."""
+    segments = segments_for(text_bytes(rows, text))
+    table = cut(count(rows, segments, text), "ngrams")
+    words, total, size = (x or 0 for x in table.agg(F.sum("words"), F.sum("tokens"), F.sum(F.length("bits"))).first())
+    model = Model(segments, total, words, table=table)
+    if size > MAX_FILTER_BYTES or words > MAX_TABLE_ENTRIES:
+        return model
+    model.table, model.width = None, np.zeros(segments, np.int64)
+    parts, known = [], []
+    for row in table.orderBy("segment").toArrow().to_pylist():  # MAX_FILTER_BYTES and 12 * MAX_TABLE_ENTRIES at most
+        parts.append(np.frombuffer(row["bits"], np.uint8))
+        model.width[row["segment"]] = len(parts[-1])
+        if row["words"]:
+            known.append(unpack(row["known"], row["words"]))
+    model.base = np.cumsum(model.width) - model.width
+    if parts:
+        model.flat = np.concatenate(parts)
+        model.keys, model.counts = (np.concatenate(x) for x in zip(*known, strict=True))
+        if model.counts.max() < 1 << 32:
+            model.counts = model.counts.astype(np.uint32)
+    return model
+
+
+def score(documents: DataFrame, model: Model, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row."""
-    counted, model = trained
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(replace(model, table=None))
-    kept = [documents.schema[c] for c in carry]
-    n = len(kept)
-    own = [T.StructField(f.name, f.dataType) for f in kept]
-    numbers = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+    kept = [T.StructField(c, documents.schema[c].dataType) for c in carry]
+    done = T.StructType([*kept, *NUMBERS])
     rows = documents.select(*carry, F.col(text).alias("_text"))
-    words = counted.where("order = 1")
+    shared = documents.sparkSession.sparkContext.broadcast(model.shares())
     if model.table is not None:
-        rows = probed(rows, model)
+        return asked(rows, model, shared, done, text_bytes(documents, text))
+    n = len(kept)
 
-    def scored(batch: pa.RecordBatch, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return batch.column(n + 1).to_numpy() if batch.num_columns > n + 1 else np.add.reduceat(shared.value.log10s(hashes, starts), starts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in slices(batches, "_text"):
+            found = Ngrams(batch.column(n).to_pylist())
+            sums = own.results(found, own.level(found.words, 1), own.level(found.pairs, 2), exact_counts(found.words, own.keys, own.counts))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *sums], names=done.names)
 
+    return rows.mapInArrow(run, done)
 
-    if model.words <= most:
-        keys, counts = np.empty(model.words, np.uint64), np.empty(model.words, np.int64)
-        at = 0
-        for row in words.orderBy("segment").select("n", "block").toArrow().to_pylist():  # 12 bytes a word, 96 MB at most
-            keys[at : at + row["n"]], counts[at : at + row["n"]] = unpack(row["block"], row["n"])
-            at += row["n"]
-        table = spark.sparkContext.broadcast((keys, counts.astype(np.uint32) if at == 0 or counts.max() < 1 << 32 else counts))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "_text"):
-                hashes, starts = tokens(batch.column(n).to_pylist())
-                exact = _exact(hashes, table.value).astype(np.int64)
-                sums = [np.diff(np.append(starts, len(hashes))), np.add.reduceat((exact > 0).astype(np.int64), starts), np.full(len(starts), shared.value.tokens)]
-                sums += [np.add.reduceat(_base(exact, shared.value), starts), scored(batch, hashes, starts)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *map(pa.array, sums)], names=[f.name for f in (*own, *numbers)])
+def asked(rows: DataFrame, model: Model, shared, done: T.StructType, size: int) -> DataFrame:
+    """:func:`score` of ``rows``, whose last column is ``_text``, with ``size`` bytes of text, by probes where the parts are."""
+    segments, salts = model.segments, max(1, math.ceil(size / SALT_BYTES))
+    n = len(done) - len(NUMBERS)
 
-        return rows.mapInArrow(run, T.StructType([*own, *numbers]))
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 36
+        for batch in slices(batches, "_text", CHUNK_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["_chunk", "_texts"])
+            chunk += 1
 
-    # the table does not fit: each text sends the words of a slice there
-    n_slices = math.ceil(model.words / SLICE_ENTRIES)
-    salts = max(1, math.ceil(documents.count() / SALT_ROWS))
-    slice_of = lambda h: ((h >> np.uint64(32)) * np.uint64(n_slices)) >> np.uint64(32)  # noqa: E731  in the order of the hashes
-    sent = T.StructType([T.StructField("_row", T.LongType()), *own, *numbers, T.StructField("slice", T.LongType()), T.StructField("n", T.LongType()), T.StructField("block", T.BinaryType())])
+    def texts(packed: bytes) -> pa.RecordBatch:
+        return pa.ipc.open_stream(packed).read_next_batch()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
-        for batch in slices(batches, "_text", 1 << 20):
-            hashes, starts = tokens(batch.column(n).to_pylist())
-            scores = scored(batch, hashes, starts)
-            ends = np.append(starts, len(hashes))
-            at, out = [], {k: [] for k in ("row", "n_tokens", "score", "slice", "n", "block")}
-            for i in range(len(starts)):
-                found, times = np.unique(hashes[ends[i] : ends[i + 1]], return_counts=True)
-                edges = np.flatnonzero(np.concatenate(([True], np.diff(slice_of(found)) > 0, [True])))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    at.append(i)
-                    for k, v in (("row", row + i), ("n_tokens", int(ends[i + 1] - ends[i])), ("score", float(scores[i])), ("slice", int(slice_of(found[a : a + 1])[0])), ("n", b - a), ("block", pack(found[a:b], times[a:b]))):
-                        out[k].append(v)
-            row += len(starts)
-            zero = pa.array(np.zeros(len(at), np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["row"], pa.int64()), *(c.take(pa.array(at)) for c in batch.columns[:n]), pa.array(out["n_tokens"], pa.int64()), zero, pa.array(np.full(len(at), shared.value.tokens)), pa.array(np.zeros(len(at))), pa.array(out["score"], pa.float64()), pa.array(out["slice"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["block"], pa.binary())],
-                names=sent.names,
-            )
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, counts = unpack(block, size)
-                edges = np.flatnonzero(np.concatenate(([True], np.diff(slice_of(keys)) > 0, [True])))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(slice_of(keys[a : a + 1])[0])], pa.int64()), pa.array([b - a], pa.int64()), pa.array([pack(keys[a:b], counts[a:b])], pa.binary())], names=["slice", "n", "block"])
-
-    texts = cut(rows.mapInArrow(send, sent), "texts")
-    salted = texts.select("slice", F.pmod(F.xxhash64("_row"), F.lit(salts)).alias("salt"), "_row", "n", "block")
-    tables = words.select("n", "block").mapInArrow(cut_up, "slice long, n long, block binary")
-    tables = tables.select("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(-1).cast("long").alias("_row"), "n", "block")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, table = None, [], None
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = Ngrams(texts(packed.as_py()).column(n).to_pylist())
+                places = [by_segment(h, o, segments) for o, h in ((1, found.words), (2, found.pairs))]
+                out = []
+                for s in range(segments):
+                    words, both = found.words[places[0][s] : places[0][s + 1]], found.pairs[places[1][s] : places[1][s + 1]]
+                    if len(words) or len(both):
+                        out.append((s, chunk % salts, chunk, len(words), len(both), pack(words) if len(words) else None, pack(both) if len(both) else None))
+                yield _batch(out, _ASKED)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, known = None, np.zeros(0, np.uint8), (np.empty(0, np.uint64), np.empty(0, np.int64))
         for batch in batches:
-            found = []
-            for s, salt, row, size, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (s, salt) != place:
-                    place, held, table = (s, salt), [], None
-                if row < 0:  # the table's blocks come first
-                    held.append(unpack(block, size))
+            out = []
+            for segment, salt, chunk, n1, n2, words, both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (segment, salt) != now:
+                    now, part, known = (segment, salt), np.zeros(0, np.uint8), (np.empty(0, np.uint64), np.empty(0, np.int64))
+                if chunk < 0:  # the segment's part comes first
+                    part = np.frombuffer(both, np.uint8)
+                    known = unpack(words, n1) if n1 else known
                     continue
-                if table is None:
-                    table = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                hashes, times = unpack(block, size)
-                exact = _exact(hashes, table)
-                found.append((row, int(times[exact > 0].sum()), float(times @ _base(exact, shared.value))))
-            if found:
-                a, b, c = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["_row", "known", "base"])
-
-    met = tables.unionByName(salted).repartition("slice", "salt").sortWithinPartitions("slice", "salt", "_row")
-    parts = met.mapInArrow(meet, "_row long, known long, base double").groupBy("_row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"))
-    heads = texts.drop("slice", "n", "block").dropDuplicates(["_row"])
-    joined = heads.join(parts, "_row")
-    return joined.select(*carry, "n_tokens", F.col("known").alias("n_known"), "train_tokens", F.col("base").alias("base_score"), "score")
+                hashes = [unpack(b, k)[0] if k else np.empty(0, np.uint64) for b, k in ((words, n1), (both, n2))]
+                found = [read_levels(part, np.zeros(len(h), np.int64), np.full(len(h), 8 * len(part)), h, order).tobytes() for order, h in enumerate(hashes, 1)]
+                out.append((chunk, segment, *found, exact_counts(hashes[0], *known).astype("<i8").tobytes()))
+            if out:
+                yield _batch(out, _ANSWERED)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        batch = texts(left.column("_texts")[0].as_py())
+        right = right.sort_by("_segment")
+        first, second, exact = (b"".join(right.column(c).to_pylist()) for c in ("_levels1", "_levels2", "_exact"))
+        sums = shared.value.results(Ngrams(batch.column(n).to_pylist()), np.frombuffer(first, np.uint8), np.frombuffer(second, np.uint8), np.frombuffer(exact, "<i8"))
+        return pa.Table.from_arrays([*batch.columns[:n], *sums], names=done.names)
+
+    dealt = rows.mapInArrow(chunks, "_chunk long, _texts binary").repartition("_chunk")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    parts = model.table.select(F.col("segment").alias("_segment"), copies, F.lit(-1).cast("long").alias("_chunk"), F.col("words").alias("_n1"), F.lit(0).cast("long").alias("_n2"), F.col("known").alias("_words"), F.col("bits").alias("_pairs"))
+    met = parts.unionByName(dealt.mapInArrow(send, _ASKED)).repartition("_segment", "_salt").sortWithinPartitions("_segment", "_salt", "_chunk")
+    answers = met.mapInArrow(answer, _ANSWERED)
+    return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(finish, done)
