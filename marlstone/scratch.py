@@ -8,11 +8,15 @@ instead of recomputing it.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_NOW = threading.local()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,6 +48,8 @@ def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    for held in getattr(_NOW, "open", ())[-1:]:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -51,3 +57,16 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a table of :func:`cut_at`."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """The tables that this thread cuts inside are dropped at the end, with or without an error."""
+    held: list[str] = []
+    _NOW.open = [*getattr(_NOW, "open", ()), held]
+    try:
+        yield
+    finally:
+        _NOW.open = _NOW.open[:-1]
+        for path in held:
+            drop(spark, path)
