@@ -24,13 +24,15 @@ meet where one of ``BANDS`` bands of ``BAND`` smallest hashes is equal (0.995 of
 above).  At ``WIDE_THRESHOLD`` differing bits, well beyond the 155 expected at 0.8 (one deviation, 12
 bits, is 0.025 of similarity), a pair is a candidate.  The bits of a small set estimate badly, as ties of
 an even number of shingles go to 0: where a set has ``SMALL`` shingles or fewer, every pair that meets is
-a candidate.  Sets whose sizes alone rule out ``SIMILAR`` are none.  Candidates do not count until the texts have been
-compared: each task names, of the pairs it finds, ``FORESTS`` edge-disjoint spanning forests of the
-closest, so their number grows with the members and not with their pairs, and each named pair is then
-kept only where the sets of shingles are similar.  A block of members whose pairs were not all named and
-that still lies in several components is then compared whole, by counts of common shingles
-(:func:`rest_pairs`), so no candidate that would join two components stays untested, and no link is below
-``SIMILAR``.  A set of shingles is one node, so copies and reordered repeats cost one row.
+a candidate.  Sets whose sizes alone rule out ``SIMILAR`` are none.  Larger sets within ``SURE`` bits are
+linked as they are: at a similarity of 0.8 that has a chance of a few in a million.  Other candidates do not
+count until the sets have been compared exactly: each task names, of those that join trees of its sure
+links, ``FORESTS`` edge-disjoint spanning forests of the closest, so their number grows with the members
+and not with their pairs.  A block of members of which some were left out, and that still lies in several
+components, is then compared whole, by counts of common shingles (:func:`rest_pairs`), so no candidate that
+would join two components stays untested.  A set of shingles is one node, so copies and reordered repeats
+cost one row.  Only documents named in a candidate that is not sure are read again for their sets, and texts
+are shuffled once, to the documents that stay; scratch tables go when these are known.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links like any
 other; a text under ``SHINGLE`` words is one shingle; a component is named by its smallest id (null if
@@ -49,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import cut, cut_at, drop
+from ..scratch import cut, cut_at, drop, new_path, passing
 from .batches import lower_words, slices
 
 SHINGLE = 3
@@ -62,8 +64,12 @@ SIMILAR = 0.8
 WIDE_SHINGLE, WIDE, WIDE_THRESHOLD = 5, 16, 180
 #: Shingles of a set up to which its fingerprint rules out no pair.
 SMALL = 64
+#: Differing bits up to which larger sets are similar without a comparison: nearly five deviations below what 0.8 gives.
+SURE = 100
 #: Spanning forests of candidates that each task names.
 FORESTS = 2
+#: Rows of a written table (24 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Bands of smallest hashes, and hashes in each.
 BANDS, BAND = 10, 4
 #: What names a block of members that a task compares.
@@ -129,13 +135,6 @@ def _sketch(words: Sequence[bytes]) -> tuple[int, int, bytes, list[int], int]:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED), majority(hashes), wide.tobytes(), bands, len(own)
 
 
-def similar(a: Sequence[bytes], b: Sequence[bytes]) -> bool:
-    """Whether the sets of five-word shingles of two lists of words are ``SIMILAR``."""
-    x, y = (np.unique(shingle_hashes(words, WIDE_SHINGLE)) for words in (a, b))
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common >= SIMILAR * (len(x) + len(y) - common)
-
-
 def fingerprints(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns and ``fp`` (the fingerprint as a signed long) of every row."""
     return _marked(documents, text, carry, [T.StructField("fp", T.LongType())], lambda texts: [_signed([fingerprint(lower_words(x)) for x in texts])])
@@ -231,120 +230,168 @@ def _settled(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         root = new
 
 
-def forest(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Links (child, smallest member, and 0 for what is ``more``) with the same components as the links a - b."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (child, smallest member) with the same components as the links a - b."""
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
     root = _settled(len(nodes), ends[: len(a)], ends[len(a) :])
     child = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[child], nodes[root[child]], *(np.zeros(len(child), np.int64) for _ in more)
+    return nodes[child], nodes[root[child]]
+
 
+def closest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, sure: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the pairs a - b, which are ``apart``: a forest of those that are ``sure``, and of the others, where they join its trees, ``FORESTS`` edge-disjoint forests, each the closest of what is left.
 
-def closest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the links a - b, which are ``apart``, ``FORESTS`` edge-disjoint spanning forests, each the closest of what is left, with what is ``more``."""
+    Last, the groups of pairs between trees that were left out.
+    """
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    trees = _settled(len(nodes), x[sure], y[sure])
+    kept = np.zeros(len(a), bool)
     order = np.argsort(apart, kind="stable")
-    x, y = ends[: len(a)][order], ends[len(a) :][order]
-    kept = np.zeros(len(x), bool)
+    spans = order[sure[order]]
+    _span(x, y, spans, np.arange(len(nodes)), kept)
+    between = order[~sure[order] & (trees[x[order]] != trees[y[order]])]
     for _ in range(FORESTS):
-        root, live = np.arange(len(nodes)), np.flatnonzero(~kept)
-        while len(live := live[root[x[live]] != root[y[live]]]):
-            # each component takes its first link that leaves it
-            first = np.full(len(nodes), len(x))
-            np.minimum.at(first, root[x[live]], live)
-            np.minimum.at(first, root[y[live]], live)
-            chosen = np.unique(first[first < len(x)])
-            kept[chosen] = True
-            root = _settled(len(nodes), root[x[chosen]], root[y[chosen]])[root]
-    at = order[kept]
-    return a[at], b[at], apart[at], *(x[at] for x in more)
-
-
-def may_be_similar(apart: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sets of ``x`` and ``y`` shingles, whose wide fingerprints are ``apart``, are candidates."""
+        _span(x, y, between[~kept[between]], trees, kept)
+    left = np.unique(group[between[~kept[between]]])
+    return a[kept], b[kept], apart[kept], sure[kept], group[kept], left
+
+
+def _span(x: np.ndarray, y: np.ndarray, live: np.ndarray, root: np.ndarray, kept: np.ndarray) -> None:
+    """Mark in ``kept`` a forest of the pairs x - y at the places ``live``, the first of them before others, over the trees ``root``."""
+    root = root.copy()
+    while len(live := live[root[x[live]] != root[y[live]]]):
+        # each tree takes its first pair that leaves it
+        first = np.full(len(root), len(live))
+        np.minimum.at(first, root[x[live]], np.arange(len(live)))
+        np.minimum.at(first, root[y[live]], np.arange(len(live)))
+        chosen = live[np.unique(first[first < len(live)])]
+        kept[chosen] = True
+        root = _settled(len(root), root[x[chosen]], root[y[chosen]])[root]
+
+
+def judged(apart: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sets of ``x`` and ``y`` shingles, whose wide fingerprints are ``apart``, may be similar, and whether they surely are."""
     less, more = np.minimum(x, y), np.maximum(x, y)
-    return (less >= SIMILAR * more) & ((apart <= WIDE_THRESHOLD) | (less <= SMALL))
+    may = (less >= SIMILAR * more) & ((apart <= WIDE_THRESHOLD) | (less <= SMALL))
+    return may, may & (apart <= SURE) & (less > SMALL)
 
 
-def compare(groups: np.ndarray, fps: np.ndarray, wide: np.ndarray | None = None, sizes: np.ndarray | None = None, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A forest of the links within runs of equal ``groups``, by ``wide`` (rows of words) and ``sizes`` where they are given; with ``pairs`` the :func:`closest` links.
+def compare(groups: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links within runs of equal ``groups``."""
+    found = [(np.empty(0, np.int64),) * 2]
+    held, at, step = 0, np.arange(len(fps)), 1
+    own = fps.view(np.uint64)
+    while len(at := at[at + step < len(fps)]) and len(at := at[groups[at] == groups[at + step]]):
+        hit = at[np.bitwise_count(own[at] ^ own[at + step]) <= THRESHOLD]
+        found.append((fps[hit], fps[hit + step]))
+        held += len(hit)
+        if held > HELD:
+            found = [forest(*map(np.concatenate, zip(*found, strict=True)))]
+            held = len(found[0][0])
+        step += 1
+    return forest(*map(np.concatenate, zip(*found, strict=True)))
+
 
-    Third, the groups of which not every link is returned.
+def compare_pairs(groups: np.ndarray, members: np.ndarray, wide: np.ndarray, sizes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The :func:`closest` pairs within runs of equal ``groups`` and whether they surely are similar: pairs that may be so by ``wide`` (rows of words) and ``sizes``, or without sizes those within the threshold.
+
+    Last, the groups with a pair between trees that is not among them.
     """
-    words = fps.view(np.uint64)[:, None] if wide is None else wide
-    fewer = closest if pairs else forest
-    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
-    held, most = 0, int(groups[-1]) + 1
-    total = np.zeros(most, np.int64)
-    at, step = np.arange(len(fps)), 1
-    while len(at := at[at + step < len(fps)]) and len(at := at[groups[at] == groups[at + step]]):
-        apart = np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1, dtype=np.int64)
-        near = apart <= THRESHOLD if sizes is None else may_be_similar(apart, sizes[at], sizes[at + step])
-        hit = at[near]
-        total += np.bincount(groups[hit], minlength=most)
-        found.append((fps[hit], fps[hit + step], apart[near], groups[hit]))
+    none = np.empty(0, np.int64)
+    found: list[tuple[np.ndarray, ...]] = [(none, none, none, np.empty(0, bool), none)]
+    left = [none]
+    held, at, step = 0, np.arange(len(members)), 1
+
+    def fewer() -> tuple[np.ndarray, ...]:
+        *kept, more = closest(*map(np.concatenate, zip(*found, strict=True)))
+        left.append(more)
+        return tuple(kept)
+
+    while len(at := at[at + step < len(members)]) and len(at := at[groups[at] == groups[at + step]]):
+        apart = np.bitwise_count(wide[at] ^ wide[at + step]).sum(axis=1, dtype=np.int64)
+        may, sure = (apart <= THRESHOLD, np.zeros(len(at), bool)) if sizes is None else judged(apart, sizes[at], sizes[at + step])
+        hit = at[may]
+        found.append((members[hit], members[hit + step], apart[may], sure[may], groups[hit]))
         held += len(hit)
         if held > HELD:
-            found = [fewer(*map(np.concatenate, zip(*found, strict=True)))]
+            found = [fewer()]
             held = len(found[0][0])
         step += 1
-    a, b, _, of = fewer(*map(np.concatenate, zip(*found, strict=True)))
-    return a, b, np.flatnonzero(total > np.bincount(of, minlength=most))
+    child, root, _, sure, _ = fewer()
+    return child, root, sure, np.unique(np.concatenate(left))
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """``child`` and ``root``: links with the components of all pairs of fingerprints within the threshold."""
-    return meet(deal(replicas(distinct)), False)
+    return meet(deal(replicas(distinct)))
 
 
-def deal(all_replicas: DataFrame) -> DataFrame:
-    """The members of each ``anchor`` of ``all_replicas``, which has ``fp`` and perhaps ``wide`` and ``size``, in blocks ``anchor``, ``i``, ``j``: every two members meet in one."""
-    wide = [c for c in ("wide", "size") if c in all_replicas.columns]
-    hot = all_replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+def deal(replicated: DataFrame) -> DataFrame:
+    """The members of each ``anchor`` of ``replicated`` (anchor, fp) in blocks ``anchor``, ``i``, ``j``: every two members meet in one."""
+    hot = replicated.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
     hot = cut(hot.select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "anchors")
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    own = F.when(parts > 1, F.pmod(F.xxhash64("fp"), parts)).otherwise(F.lit(0)).cast("int")
-    tagged = all_replicas.join(hot, "anchor", "left").select("anchor", "fp", *wide, own.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q"))
-    return tagged.select("anchor", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "fp", *wide)
+    return _blocks(replicated.join(hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "fp")
+
+
+def _blocks(members: DataFrame, name: str) -> DataFrame:
+    """``members`` (anchor, ``name``, parts) in the blocks of the chunks that they fall into."""
+    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(name), F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    tagged = members.select("anchor", name, own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    return tagged.select("anchor", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), name)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], arrays: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Whole blocks of sorted batches: the number of each row's block, and the columns, of which the first three name it."""
+    rest: list[np.ndarray] = []  # of the block that may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.concatenate(x) for x in zip(rest, arrays(batch), strict=True)] if rest else arrays(batch)
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+        last = int(np.flatnonzero(new)[-1])
+        group = np.cumsum(new)
+        rest = [c[last:] for c in columns]
+        if last:
+            yield group[:last], [c[:last] for c in columns]
+    if rest:
+        yield np.zeros(len(rest[0]), np.int64), rest
+
+
+def meet(dealt: DataFrame) -> DataFrame:
+    """``child`` and ``root`` of the links within each block of :func:`deal`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, columns in _runs(batches, lambda b: [c.to_numpy().astype(np.int64) for c in b.columns]):
+            child, root = compare(group, columns[3])
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], names=["child", "root"])
+
+    return dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, "child long, root long")
 
 
-def meet(dealt: DataFrame, pairs: bool) -> DataFrame:
-    """``child`` and ``root`` of the links within each block of :func:`deal`; with ``pairs`` the closest pairs, and ``anchor``, ``i``, ``j`` of the blocks of which not every pair is named, in rows of their own."""
+def meet_pairs(dealt: DataFrame) -> DataFrame:
+    """``child``, ``root`` and ``sure`` of the pairs that :func:`compare_pairs` names in each block of ``dealt`` (BLOCK and fp, or BLOCK, node, wide and size); ``anchor``, ``i``, ``j`` of the blocks in which it left some out, in rows of their own."""
+    names = ["child", "root", "sure", *BLOCK]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
 
     def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
         numbers = [c.to_numpy().astype(np.int64) for c in batch.columns[:4]]
-        if batch.num_columns > 4:
-            numbers += [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, WIDE), batch.column(5).to_numpy()]
-        return numbers
+        if batch.num_columns == 4:
+            return [*numbers, numbers[3].view(np.uint64)[:, None]]
+        return [*numbers, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, WIDE), batch.column(5).to_numpy()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []  # of the group that may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [np.concatenate(x) for x in zip(rest, arrays(batch), strict=True)] if rest else arrays(batch)
-            new = np.ones(len(columns[0]), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
-            last = int(np.flatnonzero(new)[-1])
-            group = np.cumsum(new)
-            rest = [c[last:] for c in columns]
-            if last:
-                yield from found(group[:last], [c[:last] for c in columns])
-        if rest:
-            yield from found(np.zeros(len(rest[3]), np.int64), rest)
-
-    def found(group: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        child, root, left = compare(group, *columns[3:], pairs=pairs)
-        if len(child):
-            named = [pa.array(child), pa.array(root)]
-            yield pa.RecordBatch.from_arrays(named + [pa.nulls(len(child), t) for t in kinds[2:]], names=names)
-        if pairs and len(left):
-            at = np.searchsorted(group, left)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), t) for t in kinds[:2]] + [pa.array(c[at], t) for c, t in zip(columns[:3], kinds[2:], strict=True)], names=names)
-
-    names = ["child", "root", *(BLOCK if pairs else ())]
-    kinds = [pa.int64(), pa.int64(), *((pa.int64(), pa.int32(), pa.int32()) if pairs else ())]
-    schema = "child long, root long" + (", anchor long, i int, j int" if pairs else "")
-    return dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, schema)
+        for group, columns in _runs(batches, arrays):
+            child, root, sure, left = compare_pairs(group, *columns[3:5], columns[5] if len(columns) > 5 else None)
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root), pa.array(sure), *(pa.nulls(len(child), t) for t in kinds[3:])], names=names)
+            if len(left):
+                at = np.searchsorted(group, left)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), t) for t in kinds[:3]] + [pa.array(c[at], t) for c, t in zip(columns[:3], kinds[3:], strict=True)], names=names)
+
+    return dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, "child long, root long, sure boolean, anchor long, i int, j int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -389,69 +436,105 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return marked.join(groups(marked, key).select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-def similar_pairs(documents: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
-    """``child`` and ``root``: nodes of ``marked`` whose sets of shingles have been compared and are similar.
+def similar_pairs(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``child`` and ``root``: links of ``nodes`` (node, fp, size, wide, bands) whose sets of shingles are similar, with the components of all that meet at an anchor or in a band.
 
-    ``marked``: key, _hash and what :func:`sketches` adds; ``documents`` has ``_hash`` too.
+    ``sets_of``: the sets (node, shingles) of a column ``node``.
     """
-    nodes = cut(marked.groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
     named = cut(nodes.groupBy("fp").agg(F.min("node").alias("_name"), F.count(F.lit(1)).alias("_nodes")), "fingerprints")
-    by_fp, by_band = deal(replicas(named)), deal(banded(cut(marked.select("node", "wide", "size", "bands").dropDuplicates(["node"]), "wide")))
-    of_fps, of_bands = cut(meet(by_fp, True), "anchored"), cut(meet(by_band, True), "banded")
-    met = of_fps.select("child", "root")
+    by_fp, by_band = deal(replicas(named)), banded(nodes)
+    of_fps = cut(meet_pairs(by_fp), "anchored")
+    of_bands = cut(meet_pairs(by_band.join(nodes.select("node", "wide", "size"), "node").select(*BLOCK, "node", "wide", "size")), "banded")
+    # the first node of a fingerprint stands for it
+    met = of_fps.where("child IS NOT NULL").select("child", "root")
     for end in ("child", "root"):
         met = met.join(named.select(F.col("fp").alias(end), F.col("_name").alias(f"_{end}")), end)
-    same = nodes.join(named, "fp").select(F.col("node").alias("child"), F.col("_name").alias("root"))
-    met = met.select(F.col("_child").alias("child"), F.col("_root").alias("root")).unionByName(same).unionByName(of_bands.select("child", "root"))
-    asked = cut(met.where("child <> root").select(F.greatest("child", "root").alias("child"), F.least("child", "root").alias("root")).distinct(), "candidates")
-    texts = node_texts(documents, marked, asked.select(F.col("child").alias("node")).unionByName(asked.select(F.col("root").alias("node"))), key, text)
-    both = asked.join(texts.select(F.col("node").alias("child"), F.col("_t").alias("_a")), "child").join(texts.select(F.col("node").alias("root"), F.col("_t").alias("_b")), "root")
+    same = nodes.join(named, "fp").select(F.col("node").alias("child"), F.col("_name").alias("root")).where("child <> root")
+    at_anchors = weighed(met.select(F.col("_child").alias("child"), F.col("_root").alias("root")).unionByName(same), nodes)
+    pairs = at_anchors.unionByName(of_bands.where("child IS NOT NULL").select("child", "root", "sure"))
+    ordered = pairs.where("child <> root").select(F.greatest("child", "root").alias("child"), F.least("child", "root").alias("root"), "sure")
+    asked = cut(ordered.groupBy("child", "root").agg(F.max("sure").alias("sure")), "candidates")
+    sure = asked.where("sure").select("child", "root")
+    # candidates within a component of sure links need no comparison
+    part = components(sure)
+    ends = asked.where("not sure").select("child", "root")
+    for end in ("child", "root"):
+        ends = ends.join(part.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
+    ends = cut(ends.where(F.coalesce("_child", "child") != F.coalesce("_root", "root")).select("child", "root"), "between")
+    sets = sets_of(ends.select(F.col("child").alias("node")).unionByName(ends.select(F.col("root").alias("node"))))
+    both = ends.join(sets.select(F.col("node").alias("child"), F.col("shingles").alias("_a")), "child").join(sets.select(F.col("node").alias("root"), F.col("shingles").alias("_b")), "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_a"):
-            near = pa.array([similar(lower_words(a.as_py()), lower_words(b.as_py())) for a, b in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
-            yield batch.select(["child", "root"]).filter(near)
-
-    sure = cut(both.select("child", "root", "_a", "_b").mapInArrow(run, "child long, root long"), "similar")
-    # blocks of which not every pair was named, and fingerprints of three nodes or more, as nodes were compared with the first of these only
-    crowded = nodes.join(named.where("_nodes > 2"), "fp").select(F.xxhash64(F.lit("same"), "fp").alias("anchor"), F.col("node").alias("fp"))
-    left = deal(crowded).unionByName(by_band.drop("wide", "size").join(open_blocks(of_bands), list(BLOCK), "left_semi"))
-    left = left.withColumnRenamed("fp", "node").unionByName(by_fp.join(open_blocks(of_fps), list(BLOCK), "left_semi").join(nodes, "fp").select(*BLOCK, "node"))
+        for batch in batches:
+            near = [alike(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["child", "root"]).filter(pa.array(near, pa.bool_()))
+
+    linked = cut(sure.unionByName(both.select("child", "root", "_a", "_b").mapInArrow(run, "child long, root long")), "similar")
+    # blocks of which some pairs were left out, and fingerprints of three nodes or more, as nodes were compared with the first of these only
+    opened = lambda met: met.where("anchor IS NOT NULL").select(*BLOCK).distinct()
+    left = by_band.join(opened(of_bands), list(BLOCK), "left_semi").unionByName(crowded(nodes, named.where("_nodes > 2").select("fp")))
+    left = left.unionByName(by_fp.join(opened(of_fps), list(BLOCK), "left_semi").join(nodes.select("fp", "node"), "fp").select(*BLOCK, "node"))
     left = cut(left, "left")
     if not left.limit(1).count():
-        return sure
-    return sure.unionByName(rest_pairs(left, components(sure), lambda used: node_texts(documents, marked, used, key, text)))
+        return linked
+    return linked.unionByName(rest_pairs(left, components(linked), sets_of))
+
 
+def weighed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``pairs`` (child, root) of ``nodes`` that may be similar, with ``sure``."""
+    for end, n in (("child", "1"), ("root", "2")):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("wide").alias(f"_w{n}"), F.col("size").alias(f"_s{n}")), end)
 
-def banded(distinct: DataFrame) -> DataFrame:
-    """``anchor``, ``fp``, ``wide`` and ``size`` for each band of each node of ``node``, ``wide``, ``size`` and ``bands``."""
-    return distinct.select(F.explode("bands").alias("anchor"), F.col("node").alias("fp"), "wide", "size")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in (2, 4))
+            may, sure = judged(np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64), batch.column(3).to_numpy(), batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sure)], names=["child", "root", "sure"]).filter(pa.array(may))
 
+    return pairs.select("child", "root", "_w1", "_s1", "_w2", "_s2").mapInArrow(run, "child long, root long, sure boolean")
 
-def open_blocks(met: DataFrame) -> DataFrame:
-    return met.where("anchor IS NOT NULL").select(*BLOCK).distinct()
 
+def crowded(nodes: DataFrame, fps: DataFrame) -> DataFrame:
+    """Blocks (BLOCK, node) of the nodes of each of the fingerprints ``fps``."""
+    members = nodes.join(fps, "fp").select(F.xxhash64(F.lit("same"), "fp").alias("anchor"), F.col("node").alias("fp"))
+    return deal(members).withColumnRenamed("fp", "node")
 
-def node_texts(documents: DataFrame, marked: DataFrame, used: DataFrame, key: str, text: str) -> DataFrame:
-    """``node`` and ``_t``, one text of it, written, for each ``node`` of ``used``."""
-    one = F.min(F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.col("_hash").alias("hash"))).alias("one")
-    places = cut(marked.join(used.distinct(), "node", "left_semi").groupBy("node").agg(one).select("node", F.col("one.id").alias("_id"), F.col("one.hash").alias("_h")), "places")
-    texts = documents.join(places, documents[key].eqNullSafe(places["_id"]) & (documents["_hash"] == places["_h"])).groupBy("node").agg(F.first(F.col(text)).alias("_t"))
-    return cut(texts, "texts")
 
+def banded(nodes: DataFrame) -> DataFrame:
+    """The ``nodes`` that share a band, in blocks (BLOCK, node)."""
+    rows = nodes.select(F.explode("bands").alias("anchor"), "node")
+    shared = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(shared.select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "bands")
+    return _blocks(rows.join(shared, "anchor"), "node")
 
-def rest_pairs(left: DataFrame, roots: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``child`` and ``root``: links that join the components ``roots`` (node, root) as all similar pairs within the blocks of ``left`` (anchor, i, j, node) do."""
-    labelled = cut(left.join(roots, "node", "left").select(*BLOCK, "node", F.coalesce("root", "node").alias("part")), "labelled")
-    several = labelled.groupBy(*BLOCK).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select(*BLOCK)
-    members = cut(labelled.join(several, list(BLOCK), "left_semi"), "members")
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, as distinct numbers, are ``SIMILAR``."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= SIMILAR * (len(x) + len(y) - common)
+
+
+def shingle_sets(documents: DataFrame, key: str, text: str, mark: str, nodes: DataFrame, used: DataFrame) -> DataFrame:
+    """``node`` and ``shingles`` (distinct hashes, ascending), written, for each ``node`` of ``used``, from the document that ``nodes`` (node, id, hash) names; ``mark``: the column of ``documents`` that holds the hash."""
+    places = cut(nodes.select("node", "id", "hash").join(used.distinct(), "node", "left_semi"), "places")
+    rows = documents.select(F.col(key).alias("_id"), F.col(mark).alias("_hash"), F.col(text).alias("_t"))
+    small = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    texts = rows.join(small, rows["_id"].eqNullSafe(small["id"]) & (rows["_hash"] == small["hash"])).select("node", "_t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t"):
             sets = [np.unique(shingle_hashes(lower_words(t), WIDE_SHINGLE)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    sets = cut(texts_of(members.select("node")).select("node", "_t").mapInArrow(shingled, "node long, shingles binary"), "shingles")
+    return cut(texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+
+
+def rest_pairs(left: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``child`` and ``root``: links that join the components ``roots`` (node, root) as all similar pairs within the blocks of ``left`` (anchor, i, j, node) do."""
+    labelled = cut(left.join(roots, "node", "left").select(*BLOCK, "node", F.coalesce("root", "node").alias("part")), "labelled")
+    several = labelled.groupBy(*BLOCK).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select(*BLOCK)
+    members = cut(labelled.join(several, list(BLOCK), "left_semi"), "members")
+    sets = sets_of(members.select("node"))
     rows = members.join(sets, "node").select(*BLOCK, "node", "part", "shingles").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,19 +590,29 @@ def joining(parts: np.ndarray, sets: Sequence[np.ndarray]) -> tuple[np.ndarray,
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``documents`` with one row of each component of near copies, five-word shingles 0.8 similar: the one with the smallest id, then text hash."""
-    own = documents.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()))
-    marked = cut(sketches(own, text, [key, "_hash"]), "documents")
-    roots = components(similar_pairs(own, marked, key, text)).withColumnRenamed("root", "_root")
-    rooted = marked.select(key, "_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node"))
-    first = F.min(F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.col("_hash").alias("hash"))).alias("first")
-    chosen = rooted.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_h"))
-    times = marked.groupBy(F.col(key).alias("_k"), F.col("_hash").alias("_g")).agg(F.count(F.lit(1)).alias("_times"))
-    chosen = chosen.join(times, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g"))).select("_id", "_h", "_times")
-    chosen = cut(chosen, "chosen")
-    joined = own.join(chosen, own[key].eqNullSafe(chosen["_id"]) & (own["_hash"] == chosen["_h"]))
-    once = joined.where("_times = 1").select(*documents.columns)
-    again = joined.where("_times > 1").dropDuplicates([key, "_hash"]).select(*documents.columns)
-    return once.unionByName(again)
+    spark, names = documents.sparkSession, documents.columns
+    mark = "_hash"
+    while mark in names:
+        mark += "_"
+    own = documents.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()))
+    rows = own.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(mark).alias("hash"))
+    stays = new_path(spark, "chosen")
+    with passing(spark):
+        marked = cut(sketches(rows, "text", ["id", "hash"]), "documents")
+        first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "hash", "fp", "size", "wide", "bands")).alias("first")
+        nodes = cut(marked.groupBy("node").agg(first).select("node", *(f"first.{c}" for c in ("missing", "id", "hash", "fp", "size", "wide", "bands"))), "nodes")
+        roots = components(similar_pairs(nodes, lambda used: shingle_sets(own, key, text, mark, nodes, used)))
+        rooted = nodes.select("node", F.struct("missing", "id", "hash").alias("first")).join(roots, "node", "left")
+        chosen = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.id", "first.hash")
+        again = marked.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        chosen.join(again, chosen["id"].eqNullSafe(again["id"]) & (chosen["hash"] == again["hash"]), "left").select(chosen["id"].alias("_id"), chosen["hash"].alias("_h"), F.col("times").isNotNull().alias("_again")).write.parquet(stays)
+    chosen = spark.read.parquet(stays)
+    one = lambda which: own[key].eqNullSafe(which["_id"]) & (own[mark] == which["_h"])
+    repeated = chosen.where("_again")
+    if not repeated.limit(1).count():
+        return own.join(chosen, one(chosen), "left_semi").select(*names)
+    once = chosen.where("not _again")
+    return own.join(once, one(once), "left_semi").select(*names).unionByName(own.join(repeated, one(repeated), "left_semi").dropDuplicates([key, mark]).select(*names))
 
 
 def as_hex(fp: Column) -> Column:

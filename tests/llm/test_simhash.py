@@ -170,24 +170,32 @@ def test_candidates_hold_the_similar_sets():
         (_, x, wide_x, bands_x), (_, y, wide_y, bands_y) = (simhash.sketch(lower_words(t)) for t in (a, b))
         apart = (int.from_bytes(wide_x) ^ int.from_bytes(wide_y)).bit_count()
         found.append((share, near(x, y) or bool(set(bands_x) & set(bands_y)) and apart <= simhash.WIDE_THRESHOLD))
-        assert simhash.similar(lower_words(a), lower_words(b)) == (share >= 0.8)
+        assert simhash.alike(*(np.unique(simhash.shingle_hashes(lower_words(t), 5)) for t in (a, b))) == (share >= 0.8)
+        _, sure = simhash.judged(np.array([apart]), np.array([len(shingle_set(a))]), np.array([len(shingle_set(b))]))
+        assert share >= 0.8 or not sure[0]
     close = [hit for s, hit in found if s >= 0.8]
     assert len(close) > 50 and sum(close) / len(close) >= 0.98
     assert not any(hit for s, hit in found if s < 0.65)
 
 
-@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12), st.integers(0, 5)).filter(lambda t: t[0] != t[1]), min_size=1, max_size=60))
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12), st.integers(0, 5), st.booleans()).filter(lambda t: t[0] != t[1]), min_size=1, max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_closest_spans_by_the_closest(rows):
-    a, b, apart = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-    got = set(zip(*(c.tolist() for c in simhash.closest(a, b, apart)), strict=True))
-    assert got <= set(rows) and len(got) <= 2 * 12
+    a, b, apart, sure = (np.array(c) for c in zip(*rows, strict=True))
+    *kept, left = simhash.closest(a, b, apart, sure, np.full(len(a), 7))
+    got = set(zip(*(c.tolist() for c in kept[:4]), strict=True))
+    assert got <= set(rows) and len(got) <= 3 * 12
 
     def label(edges):
         return brute_components([(n, n) for n in range(13)], lambda x, y: (x, y) in edges or (y, x) in edges)
 
+    trees = label({r[:2] for r in rows if r[3]})
+    assert label({r[:2] for r in got if r[3]}) == trees
     for most in range(6):  # at each distance what is kept connects all that the links connect
-        assert label({r[:2] for r in got if r[2] <= most}) == label({r[:2] for r in rows if r[2] <= most})
+        within = {r[:2] for r in rows if r[3]}
+        assert label(within | {r[:2] for r in got if r[2] <= most}) == label(within | {r[:2] for r in rows if r[2] <= most})
+    out = {r for r in rows if not r[3] and trees[r[0]] != trees[r[1]]} - got
+    assert bool(out) <= bool(len(left))
 
 
 def test_keep_one_of_near_copies(spark, monkeypatch):
