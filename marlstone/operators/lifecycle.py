@@ -1,19 +1,22 @@
 """Datasets on storage: import once, audit, publish as a whole, archive, delete.
 
 A store is a folder of Parquet tables that driver and executors share.  A release's content is written
-under a new folder and becomes visible by one rename; the registry is a small table rewritten the same
-way.  One writer at a time is assumed.
+under a new folder and becomes visible by one rename; the registry and the runs are small tables of which
+each change writes the next version.  A version is put into place by a rename that refuses one that is
+there, so of two writers the slower one reads again and makes its change anew; nothing is lost, ids are
+given once, and of two imports of one dataset one is ``in_progress``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..commits import ATTEMPTS, publish
 from ..schemas import DATASET_STATUSES, ISSUE, ddl
 from .catalog import IDENTITY
 from .validate import MAX_ISSUES, blocks_import
@@ -47,12 +50,20 @@ class Store:
             return self.spark.createDataFrame([], ddl(columns))
         return self.spark.read.schema(ddl(columns)).parquet(f"{self.path}/{name}/{found[-1]}")
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Write the next version of a small table and rename it into place."""
-        staged, final = f"{self.path}/{name}/.{uuid.uuid4().hex}", f"{self.path}/{name}/v{len(self._versions(name)):09d}"
-        rows.coalesce(1).write.parquet(staged)
-        if not self._files.rename(self._fs.Path(staged), self._fs.Path(final)):
-            raise RuntimeError(f"another writer replaced {name}")
+    def update(self, name: str, columns: Mapping[str, str], change: Callable[[DataFrame], DataFrame | None]) -> bool:
+        """Put ``change`` of a small table in its place, made anew while other writers are faster; false, and nothing, where it gives None."""
+        for _ in range(ATTEMPTS):
+            found = self._versions(name)
+            now = self.spark.read.schema(ddl(columns)).parquet(f"{self.path}/{name}/{found[-1]}") if found else self.spark.createDataFrame([], ddl(columns))
+            rows = change(now)
+            if rows is None:
+                return False
+            staged, last = f"{self.path}/{name}/.{uuid.uuid4().hex}", int(found[-1][1:]) if found else -1
+            rows.coalesce(1).write.parquet(staged)
+            if publish(self.spark, staged, f"{self.path}/{name}/v{last + 1:09d}"):
+                return True
+            self._files.delete(self._fs.Path(staged), True)
+        raise RuntimeError(f"other writers kept replacing {name}")
 
     def datasets(self) -> DataFrame:
         return self.table("datasets", REGISTRY)
@@ -65,19 +76,26 @@ class Store:
 
     def _put(self, row: dict[str, object]) -> None:
         one = self.spark.createDataFrame([tuple(row[k] for k in REGISTRY)], ddl(REGISTRY))
-        self.replace("datasets", self.datasets().where(F.col("id") != row["id"]).unionByName(one))
+        self.update("datasets", REGISTRY, lambda now: now.where(F.col("id") != row["id"]).unionByName(one))
 
     def register(self, identity: Mapping[str, str | None], checksum: str | None = None) -> dict[str, object]:
         """The registry row of an identity, made if it is not there."""
         same = F.lit(True)
         for k in IDENTITY:
             same = same & F.col(k).eqNullSafe(F.lit(identity.get(k)))
-        found = self.datasets().where(same).first()
-        if found:
-            return found.asDict()
-        last = self.datasets().agg(F.max("id")).first()[0]
-        row = {"id": (last or 0) + 1, **{k: identity.get(k) for k in IDENTITY}, "checksum": checksum, "status": "PENDING", "content": None}
-        self._put(row)
+        row: dict[str, object] = {}
+
+        def added(now: DataFrame) -> DataFrame | None:
+            row.clear()
+            found = now.where(same).first()
+            if found:
+                row.update(found.asDict())
+                return None
+            last = now.agg(F.max("id")).first()[0]
+            row.update({"id": (last or 0) + 1, **{k: identity.get(k) for k in IDENTITY}, "checksum": checksum, "status": "PENDING", "content": None})
+            return now.unionByName(self.spark.createDataFrame([tuple(row[k] for k in REGISTRY)], ddl(REGISTRY)))
+
+        self.update("datasets", REGISTRY, added)
         return row
 
     def set_status(self, dataset_id: int, status: str) -> None:
@@ -107,13 +125,14 @@ class Store:
                 return "skipped"
             raise DuplicateDataset("another file is served under this identity; register a new revision")
         now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        running = self.runs().where((F.col("dataset_id") == row["id"]) & (F.col("status") == "RUNNING") & (F.col("started_at") > F.lit(now - STALE_AFTER)))
-        if not running.isEmpty():
-            return "in_progress"
         run = {"run_id": uuid.uuid4().hex, "dataset_id": row["id"], "source": source, "checksum": checksum, "status": "RUNNING", "started_at": now, "completed_at": None, "records_seen": None, "records_inserted": None}
-        self._run(run)
+        running = (F.col("dataset_id") == row["id"]) & (F.col("status") == "RUNNING") & (F.col("started_at") > F.lit(now - STALE_AFTER))
+        first = self.spark.createDataFrame([tuple(run[k] for k in RUNS)], ddl(RUNS))
+        if not self.update("runs", RUNS, lambda rows: rows.unionByName(first) if rows.where(running).isEmpty() else None):
+            return "in_progress"
         seen = tables["nodes"].count() if "nodes" in tables else 0
-        self.replace("issues", self.issues().unionByName(issues.limit(MAX_ISSUES).select(F.lit(run["run_id"]).alias("run_id"), *ISSUE)))
+        noted = issues.limit(MAX_ISSUES).select(F.lit(run["run_id"]).alias("run_id"), *ISSUE)
+        self.update("issues", {"run_id": "string", **ISSUE}, lambda rows: rows.unionByName(noted))
         if blocks_import(issues):
             self._put(row | {"checksum": checksum, "status": "VALIDATION_FAILED"})
             self._run(run | {"status": "VALIDATION_FAILED", "completed_at": now, "records_seen": seen, "records_inserted": 0})
@@ -124,7 +143,7 @@ class Store:
             for name, rows in tables.items():
                 rows.write.mode("overwrite").parquet(f"{self.path}/.{run['run_id']}/{name}")
             self._files.mkdirs(self._fs.Path(f"{self.path}/content"))
-            if not self._files.rename(self._fs.Path(f"{self.path}/.{run['run_id']}"), self._fs.Path(f"{self.path}/{content}")):
+            if not publish(self.spark, f"{self.path}/.{run['run_id']}", f"{self.path}/{content}"):
                 raise RuntimeError("the content could not be put into place")
         except Exception:
             self._files.delete(self._fs.Path(f"{self.path}/.{run['run_id']}"), True)
@@ -137,7 +156,7 @@ class Store:
 
     def _run(self, run: dict[str, object]) -> None:
         one = self.spark.createDataFrame([tuple(run[k] for k in RUNS)], ddl(RUNS))
-        self.replace("runs", self.runs().where(F.col("run_id") != run["run_id"]).unionByName(one))
+        self.update("runs", RUNS, lambda rows: rows.where(F.col("run_id") != run["run_id"]).unionByName(one))
 
     def content(self, dataset_id: int, name: str) -> DataFrame:
         """A table of a release that is served."""
@@ -159,12 +178,38 @@ class Store:
             rows = rows.where(F.upper("system") == system.upper())
         if version is not None:
             rows = rows.where(F.col("version") == version)
-        found = [r.asDict() for r in rows.orderBy("id").limit(100).collect()]
-        if not found:
-            raise LookupError("no such dataset")
-        served = [r for r in found if r["status"] == "READY"] if ready else found
+        served = [r.asDict() for r in (rows.where("status = 'READY'") if ready else rows).limit(2).collect()]
         if not served:
-            raise LookupError("the dataset is not ready")
+            raise LookupError("no such dataset" if rows.isEmpty() else "the dataset is not ready")
         if len(served) > 1:
             raise LookupError("more than one dataset fits; name the version or the id")
         return served[0]
+
+    def reindex(self, dataset_id: int, documents: Callable[[DataFrame], DataFrame], force: bool = False) -> tuple[int, int]:
+        """Search documents of a served release made anew from its nodes: how many were written, and how many were there unchanged.
+
+        ``documents`` gives rows with ``id`` and ``identity_hash``.  Without ``force`` a table that has the same identities stays.
+        """
+        row = self.resolve(dataset_id=dataset_id)
+        made = documents(self.content(dataset_id, "nodes"))
+        root = self._fs.Path(f"{self.path}/index/dataset_id={dataset_id}")
+        found = sorted(x.getPath().getName() for x in self._files.listStatus(root) if x.getPath().getName().startswith("v")) if self._files.exists(root) else []
+        n = made.count()
+        if found and not force:
+            held = self.spark.read.parquet(f"{root}/{found[-1]}").select("id", "identity_hash")
+            same = made.join(held, ["id", "identity_hash"], "left_semi").count()
+            if same == n == held.count():
+                return 0, n
+        staged = f"{root}/.{uuid.uuid4().hex}"
+        made.withColumn("content", F.lit(row["content"])).write.parquet(staged)
+        if not publish(self.spark, staged, f"{root}/v{int(found[-1][1:]) + 1 if found else 0:09d}"):
+            raise RuntimeError("another writer indexed the release meanwhile; run it again")
+        return n, 0
+
+    def indexed(self, dataset_id: int) -> DataFrame:
+        """The search documents of the last :meth:`reindex`."""
+        root = self._fs.Path(f"{self.path}/index/dataset_id={dataset_id}")
+        found = sorted(x.getPath().getName() for x in self._files.listStatus(root) if x.getPath().getName().startswith("v")) if self._files.exists(root) else []
+        if not found:
+            raise LookupError("the dataset has no index")
+        return self.spark.read.parquet(f"{root}/{found[-1]}")
