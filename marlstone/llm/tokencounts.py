@@ -5,10 +5,10 @@ a table of signed rows: an insert adds a document and its tokens, a delete takes
 takes the old count away and adds the new one.  The rows are summed by key before they are committed,
 so the work of a batch follows the batch and not the corpus, and a hot source costs a row a task.
 
-A commit writes the new totals beside the old ones and renames their folder into place, with its
-version and batch id in the name; the rename is the commit.  A batch id that is already there is
-skipped, so a job may be run again after any failure.  One writer at a time is assumed; a second one
-that takes the same version fails at the rename.
+A commit writes the new totals, with a file that names the batch, to a folder of its own and renames it
+to the next version; the rename is the commit, and it refuses a version that is there.  Of two writers
+the slower one reads the new totals and adds its batch to them, so none is lost.  A batch id that is
+already there is skipped, so a job may be run again after any failure.
 
 Defined cases: null texts have the tokens of the empty text; null sources and languages are keys like
 any other; keys whose documents and tokens are both zero leave the totals; repeated rows count each.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..commits import ATTEMPTS, publish
 from .batches import slices
 from .pieces import RoundTrip, splits_at_marks
 
@@ -83,22 +85,24 @@ class Rollup:
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._files = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[tuple[int, str, str]]:
-        """Version, batch id and folder name of each commit, in order."""
-        root = self._hadoop.Path(self.path)
-        names = [s.getPath().getName() for s in self._files.listStatus(root)] if self._files.exists(root) else []
-        return sorted((int(m[1]), m[2], x) for x in names if (m := re.fullmatch(r"v(\d{9})-(.+)", x)))
+    def _versions(self) -> list[tuple[str, str]]:
+        """Folder name and batch id of each commit, in order."""
+        found = self._files.globStatus(self._hadoop.Path(f"{self.path}/v*/_batch-*")) or []
+        paths = [x.getPath() for x in found]
+        return sorted((p.getParent().getName(), p.getName().removeprefix("_batch-")) for p in paths)
 
     def batches(self) -> list[str]:
         """The ids of the committed batches."""
-        return [b for _, b, _ in self._versions()]
+        return [b for _, b in self._versions()]
 
     def totals(self) -> DataFrame:
         """KEYS, ``documents`` and ``tokens`` after the last commit."""
-        versions = self._versions()
+        return self._of(self._versions())
+
+    def _of(self, versions: list[tuple[str, str]]) -> DataFrame:
         if not versions:
             return self.spark.createDataFrame([], TOTALS)
-        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/{versions[-1][2]}")
+        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/{versions[-1][0]}")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add the signed rows of a batch; false if the batch was committed before."""
@@ -106,11 +110,21 @@ class Rollup:
             raise ValueError("a batch id has letters, digits, '_', '.' and '-' only")
         if batch in self.batches():
             return False
-        last = self._versions()[-1][0] if self._versions() else 0
+        own = f"{self.path}/.{batch}-{uuid.uuid4().hex}"
         summed = changes.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        added = self.totals().unionByName(summed).groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        staged, final = f"{self.path}/.staged-{batch}", f"{self.path}/v{last + 1:09d}-{batch}"
-        added.where("documents <> 0 or tokens <> 0").write.mode("overwrite").parquet(staged)
-        if any(v == last + 1 for v, _, _ in self._versions()) or not self._files.rename(self._hadoop.Path(staged), self._hadoop.Path(final)):
-            raise RuntimeError("another writer committed meanwhile; run the batch again")
-        return True
+        summed.write.parquet(f"{own}/summed")  # a row a key: what is made anew if another writer is faster
+        summed = self.spark.read.schema(TOTALS).parquet(f"{own}/summed")
+        try:
+            for attempt in range(ATTEMPTS):
+                versions = self._versions()
+                if batch in (b for _, b in versions):
+                    return False
+                added = self._of(versions).unionByName(summed).groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+                staged, last = f"{own}/{attempt}", int(versions[-1][0][1:]) if versions else 0
+                added.where("documents <> 0 or tokens <> 0").write.parquet(staged)
+                self._files.create(self._hadoop.Path(f"{staged}/_batch-{batch}")).close()
+                if publish(self.spark, staged, f"{self.path}/v{last + 1:09d}"):
+                    return True
+            raise RuntimeError("other writers kept committing; run the batch again")
+        finally:
+            self._files.delete(self._hadoop.Path(own), True)

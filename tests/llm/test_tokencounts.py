@@ -43,7 +43,7 @@ def test_a_batch_counts_once(spark, tmp_path):
 def test_a_failed_batch_runs_again(spark, tmp_path):
     rollup = tokencounts.Rollup(spark, f"file://{tmp_path}/r")
     changes = tokencounts.inserts(rows(spark, ("x", "en", 5)))
-    changes.write.parquet(f"file://{tmp_path}/r/.staged-a")  # what a lost job leaves
+    changes.write.parquet(f"file://{tmp_path}/r/.a-lost/0")  # what a lost job leaves
     assert rollup.commit("a", changes) and as_dict(rollup.totals()) == {("x", "en"): (1, 5)}
     with pytest.raises(ValueError):
         rollup.commit("../x", changes)
@@ -55,3 +55,28 @@ def test_odd_rows(spark, odd, empty, tmp_path):
     rollup = tokencounts.Rollup(spark, f"file://{tmp_path}/r")
     rollup.commit("none", tokencounts.inserts(tokencounts.counted(empty, {"m": queries.piece_model()})))
     assert rollup.totals().count() == 0
+
+
+def test_the_slower_of_two_writers_adds_to_the_other(spark, tmp_path, monkeypatch):
+    one, two = (tokencounts.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    one.commit("first", tokencounts.inserts(rows(spark, ("x", "en", 1))))
+    real, between = tokencounts.publish, []
+
+    def late(*names):  # another writer takes the version just before
+        if not between:
+            between.append(1)
+            assert two.commit("other", tokencounts.inserts(rows(spark, ("x", "en", 100), ("y", "en", 7))))
+        return real(*names)
+
+    monkeypatch.setattr(tokencounts, "publish", late)
+    assert one.commit("late", tokencounts.inserts(rows(spark, ("x", "en", 10))))
+    assert as_dict(one.totals()) == {("x", "en"): (3, 111), ("y", "en"): (1, 7)}
+    assert two.batches() == ["first", "other", "late"]
+
+
+def test_the_query_runs_deletes_and_revisions(spark, sf_dir, monkeypatch):
+    seen = []
+    real = tokencounts.Rollup.commit
+    monkeypatch.setattr(tokencounts.Rollup, "commit", lambda self, batch, changes: seen.append((batch, changes.where("documents < 0").count())) or real(self, batch, changes))
+    queries.op8(spark, sf_dir)
+    assert [b for b, _ in seen] == ["load", "revise", "revise", "delete", "restore"] and seen[1][1] > 0 and seen[3][1] > 0
