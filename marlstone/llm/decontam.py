@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .batches import lower_words, slices
 
@@ -46,6 +47,8 @@ RADIUS = 22
 BLOCK_WORDS = 2_000_000
 #: Words of a document whose windows are fingerprinted at a time.
 REGION_WORDS = 1 << 14
+#: Bytes of index answers that the items of one length keep.
+NEAR_BYTES = 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,12 +73,13 @@ class Items:
     def __init__(self, length: int) -> None:
         self.length = length
         self.size = min(length, SHINGLE)
-        self.ids: list[int] = []
+        self.ids: list = []
         self.shingles: list[Counter] = []
         self.fps = np.empty(0, np.uint64)
         self.near: dict[tuple[int, int], np.ndarray] = {}
+        self.near_bytes = 0
 
-    def add(self, item: int, words: Sequence[bytes]) -> None:
+    def add(self, item: object, words: Sequence[bytes]) -> None:
         self.ids.append(item)
         hashes = _hashes(words, self.size)
         self.shingles.append(Counter(hashes.tolist()))
@@ -88,10 +92,12 @@ class Items:
             value = fp >> (16 * block) & 0xFFFF
             places = self.near.get((block, value))
             if places is None:
-                if len(self.near) >= 1 << 16:
-                    self.near.clear()
                 own = (self.fps >> np.uint64(16 * block)) & np.uint64(0xFFFF)
-                places = np.flatnonzero(np.bitwise_count(own ^ np.uint64(value)) <= RADIUS // 4)
+                places = np.flatnonzero(np.bitwise_count(own ^ np.uint64(value)) <= RADIUS // 4).astype(np.int32)
+                self.near_bytes += places.nbytes + 200
+                if self.near_bytes > NEAR_BYTES:
+                    self.near.clear()
+                    self.near_bytes = places.nbytes + 200
                 self.near[block, value] = places
             found.append(places)
         places = np.unique(np.concatenate(found))
@@ -224,13 +230,17 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", word
         yield Index(held)
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``item_id``, ``similarity``, ``start`` and ``n_words`` (in words, of the most similar window) for each document and item that it has."""
+def matches(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """``key``, ``item_id``, ``similarity``, ``start`` and ``n_words`` (in words, of the most similar window) for each document and item that it has.
+
+    Ids are of any type; a ``key`` that is named like one of the other columns comes as ``key_`` and that name.
+    """
     spark = documents.sparkSession
-    schema = T.StructType(
-        [T.StructField(key, documents.schema[key].dataType), *(T.StructField(n, t) for n, t in (("item_id", T.LongType()), ("similarity", T.DoubleType()), ("start", T.LongType()), ("n_words", T.LongType())))]
-    )
-    rows, out = documents.select(key, F.col(text).alias("_text")), None
+    found_there = (("item_id", benchmark.schema[item].dataType), ("similarity", T.DoubleType()), ("start", T.LongType()), ("n_words", T.LongType()))
+    name = f"key_{key}" if key in dict(found_there) else key
+    schema = T.StructType([T.StructField(name, documents.schema[key].dataType), *(T.StructField(n, t) for n, t in found_there)])
+    of_item = to_arrow_type(benchmark.schema[item].dataType)
+    rows, out = documents.select(F.col(key).alias(name), F.col(text).alias("_text")), None
 
     def searching(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +248,11 @@ def matches(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 found = [(i, *m) for i, t in enumerate(batch.column(1).to_pylist()) for m in shared.value.search(t)]
                 if found:
                     at, items, similar, start, n = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(items, pa.int64()), pa.array(similar, pa.float64()), pa.array(start, pa.int64()), pa.array(n, pa.int64())], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(items, of_item), pa.array(similar, pa.float64()), pa.array(start, pa.int64()), pa.array(n, pa.int64())], names=schema.names)
 
         return run
 
-    for index in blocks(benchmark):
+    for index in blocks(benchmark, item):
         found = rows.mapInArrow(searching(spark.sparkContext.broadcast(index)), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out

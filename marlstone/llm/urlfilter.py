@@ -17,10 +17,7 @@ besides those asked for are not carried.
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import new_path
+
 MAGIC = b"MDIGEST1"
 VERDICTS = ("allow", "block")
 
@@ -43,8 +42,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def write_array(entries: Sequence[tuple[str, str]], path: str) -> None:
-    """The file: header, digests, ends of strings, verdicts, host lengths, path lengths in use, strings.
+def packed_array(entries: Sequence[tuple[str, str]]) -> bytes:
+    """The file's content: header, digests, ends of strings, verdicts, host lengths, path lengths in use, strings.
 
     ``entries``: ``host/path`` and verdict.
     """
@@ -54,17 +53,15 @@ def write_array(entries: Sequence[tuple[str, str]], path: str) -> None:
             raise ValueError(f"no entry, or one with two verdicts: {entry!r}")
     rows = sorted((xxhash.xxh64_intdigest(e.encode()), e.encode(), VERDICTS.index(v)) for e, v in found.items())
     lengths = sorted({len(e) - e.index(b"/") for _, e, _ in rows})
-    with open(path, "wb") as file:
-        file.write(MAGIC + struct.pack("<qq", len(rows), len(lengths)))
-        np.array([r[0] for r in rows], "<u8").tofile(file)
-        np.cumsum([len(r[1]) for r in rows], dtype="<i8").astype("<i8").tofile(file)
-        np.array(lengths, "<i8").tofile(file)
-        np.array([r[2] for r in rows], "u1").tofile(file)
-        file.write(b"".join(r[1] for r in rows))
+    parts = [MAGIC + struct.pack("<qq", len(rows), len(lengths))]
+    parts.append(np.array([r[0] for r in rows], "<u8").tobytes())
+    parts.append(np.cumsum([len(r[1]) for r in rows], dtype="<i8").astype("<i8").tobytes())
+    parts += [np.array(lengths, "<i8").tobytes(), np.array([r[2] for r in rows], "u1").tobytes(), *(r[1] for r in rows)]
+    return b"".join(parts)
 
 
 class DigestArray:
-    """A mapped file of :func:`write_array`."""
+    """A mapped file of :func:`packed_array`."""
 
     def __init__(self, path: str) -> None:
         data = np.memmap(path, np.uint8, "r")
@@ -115,12 +112,16 @@ class DigestArray:
 
 
 def distribute(spark: SparkSession, entries: Sequence[tuple[str, str]]) -> str:
-    """Write the array, have Spark send it to the executors, and return its name there."""
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="marlstone-"))
-    name = f"digests-{uuid.uuid4().hex}"
-    write_array(entries, os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
-    return name
+    """Write the array to the shared folder, have Spark send it to the executors, and return its name there."""
+    path = new_path(spark, "digests")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(packed_array(entries)))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
 
 
 def judge(pages: DataFrame, entries: Sequence[tuple[str, str]], default: str = "allow", url: str = "url", carry: Sequence[str] = ("page_id",)) -> DataFrame:

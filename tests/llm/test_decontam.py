@@ -98,3 +98,20 @@ def test_text_shorter_than_the_item(spark):
     want = {(0, 1): (25 / 26, 0, 29), (1, 1): (21 / 26, 0, 25), (3, 2): (0.8, 0, 8), (6, 1): (21 / 26, 0, 25)}
     assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"], r["n_words"]) for r in decontam.matches(d, b).collect()} == want
     assert {r["doc_id"] for r in decontam.without(d, b).collect()} == {2, 4, 5}
+
+
+def test_ids_of_any_type_and_clashing_names(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([("a", f"x y z {item} q"), ("b", "nothing")], "item_id string, text string")
+    found = decontam.matches(docs, spark.createDataFrame([("one", item)], "item_id string, text string"), key="item_id")
+    assert [tuple(r) for r in found.collect()] == [("a", "one", 1.0, 3, 30)] and found.columns[0] == "key_item_id"
+
+
+def test_index_answers_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(decontam, "NEAR_BYTES", 2_000)
+    items = decontam.Items(20)
+    for i in range(50):
+        items.add(i, [f"w{i}-{j}".encode() for j in range(20)])
+    want = {fp: [i for i, own in enumerate(items.fps.tolist()) if (own ^ fp).bit_count() <= decontam.RADIUS] for fp in items.fps.tolist()}
+    for fp in want:
+        assert items.within(fp).tolist() == want[fp] and items.near_bytes <= 2_000

@@ -34,14 +34,14 @@ def test_same_as_sql(spark, sf_dir):
 
 def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda *_: 7)
-    urlfilter.write_array([("a.com/", "block"), ("b.com/", "allow"), ("c.com/", "block")], str(tmp_path / "d"))
+    (tmp_path / "d").write_bytes(urlfilter.packed_array([("a.com/", "block"), ("b.com/", "allow"), ("c.com/", "block")]))
     array = urlfilter.DigestArray(str(tmp_path / "d"))
     assert array.judge([("b.com", "/x"), ("z.com", "/"), ("c.com", "/")]) == [("b.com/", "allow"), None, ("c.com/", "block")]
 
 
 def test_large_list(tmp_path):
     entries = [(f"h{i}.org/p{i % 7}/", "block") for i in range(20_000)]
-    urlfilter.write_array(entries, str(tmp_path / "d"))
+    (tmp_path / "d").write_bytes(urlfilter.packed_array(entries))
     array = urlfilter.DigestArray(str(tmp_path / "d"))
     assert array.judge([(f"x.h{i}.org", f"/p{i % 7}/z") for i in range(0, 20_000, 97)]) == [entries[i] for i in range(0, 20_000, 97)]
     assert array.judge([(f"h{i}.org", "/other/") for i in range(50)]) == [None] * 50
@@ -49,6 +49,6 @@ def test_large_list(tmp_path):
 
 def test_lists_that_contradict(tmp_path):
     with pytest.raises(ValueError):
-        urlfilter.write_array([("a/", "block"), ("a/", "allow")], str(tmp_path / "d"))
-    urlfilter.write_array([], str(tmp_path / "e"))
+        urlfilter.packed_array([("a/", "block"), ("a/", "allow")])
+    (tmp_path / "e").write_bytes(urlfilter.packed_array([]))
     assert urlfilter.DigestArray(str(tmp_path / "e")).judge([("a", "/")]) == [None]
