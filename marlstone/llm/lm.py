@@ -53,7 +53,7 @@ FLUSH_TOKENS = 3_000_000
 BITS_AN_ENTRY = 10
 PROBES = 4
 #: Bytes of the filter, and distinct words, up to which the model is broadcast.
-MAX_FILTER_BYTES, MAX_TABLE_ENTRIES = 64 << 20, 8_000_000
+MAX_FILTER_BYTES, MAX_TABLE_ENTRIES = 128 << 20, 8_000_000
 #: Bytes of text that ask for their n-grams together, and text whose chunks ask one copy of a part, where the model is not broadcast.
 CHUNK_BYTES, SALT_BYTES = 4 << 20, 100 << 30
 MAX_LEVEL = 48
