@@ -320,18 +320,18 @@ def train(rows: DataFrame, text: str = "text") -> Model:
     if size > MAX_FILTER_BYTES or words > MAX_TABLE_ENTRIES:
         return model
     model.table, model.width = None, np.zeros(segments, np.int64)
-    parts, known = [], []
-    for row in table.orderBy("segment").toArrow().to_pylist():  # MAX_FILTER_BYTES and 12 * MAX_TABLE_ENTRIES at most
-        parts.append(np.frombuffer(row["bits"], np.uint8))
-        model.width[row["segment"]] = len(parts[-1])
+    model.flat, model.keys, counts = np.empty(size, np.uint8), np.empty(words, np.uint64), np.empty(words, np.int64)
+    filled = known = 0
+    for row in table.orderBy("segment").toLocalIterator():  # a partition at a time; MAX_FILTER_BYTES and 16 * MAX_TABLE_ENTRIES in all at most
+        part = np.frombuffer(row["bits"], np.uint8)
+        model.width[row["segment"]] = len(part)
+        model.flat[filled : filled + len(part)] = part
+        filled += len(part)
         if row["words"]:
-            known.append(unpack(row["known"], row["words"]))
+            model.keys[known : known + row["words"]], counts[known : known + row["words"]] = unpack(row["known"], row["words"])
+            known += row["words"]
     model.base = np.cumsum(model.width) - model.width
-    if parts:
-        model.flat = np.concatenate(parts)
-        model.keys, model.counts = (np.concatenate(x) for x in zip(*known, strict=True))
-        if model.counts.max() < 1 << 32:
-            model.counts = model.counts.astype(np.uint32)
+    model.counts = counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
     return model
 
 
