@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stemming import ENGLISH_STOPWORDS, english
+
 #: Text-search configuration by language, fixed values; every other language has ``simple``.
 TS_CONFIGS = {"en": "english", "fr": "french", "de": "german", "es": "spanish", "pt": "portuguese"}
 
@@ -42,7 +44,8 @@ def strip_accents(text: Column) -> Column:
     pairs = F.split(F.lit("\n".join(c + base for c, base in several)), "\n")
     spelled = F.aggregate(pairs, text, lambda done, p: F.replace(done, F.substring(p, 1, 1), F.substring(p, F.lit(2), F.length(p))))
     whole = F.when(text.rlike(_neighbourhoods("".join(c for c, _ in several))), spelled).otherwise(text)
-    return F.regexp_replace(F.translate(whole, sources, targets), r"\p{Mn}+", "")
+    # most texts are ASCII, and then nothing of this is done
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(F.translate(whole, sources, targets), r"\p{Mn}+", ""))
 
 
 def _neighbourhoods(characters: str, gap: int = 24) -> str:
@@ -82,6 +85,20 @@ def stems(text: Column) -> Column:
     return F.array_distinct(F.transform(tokens(text), stem))
 
 
+def lexemes(text: Column, config: str = "simple") -> Column:
+    """The words of :func:`tokens`; with ``english`` their stems, without its stopwords."""
+    if config != "english":
+        return tokens(text)
+    kept = F.filter(tokens(text), lambda t: ~t.isin(*ENGLISH_STOPWORDS))
+    return english_stems(kept)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def english_stems(words: pd.Series) -> pd.Series:
+    """:func:`stemming.english` of arrays of words; the rules depend on what earlier ones left, which no built-in can say."""
+    return words.map(lambda own: None if own is None else [english(w) for w in own])
+
+
 def ts_config(language: Column) -> Column:
     """Text-search configuration of a language tag (``en-CA`` -> ``english``)."""
     pairs = [F.lit(x) for pair in TS_CONFIGS.items() for x in pair]

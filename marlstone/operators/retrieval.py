@@ -38,65 +38,80 @@ def exact(queries: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     return cut(hits, ["query_id"], k, F.desc("depth"), F.asc("node_id")).select("query_id", "node_id", F.lit(1.0).alias("score"))
 
 
-def postings(documents: DataFrame, parts: Sequence[tuple[str, str]], key: str = "node_id") -> DataFrame:
-    """``key``, ``lexeme``, ``weight`` (summed over positions) and ``named`` (in a part A or B), for text columns with their part."""
+def postings(documents: DataFrame, parts: Sequence[tuple[str, str]], key: str = "node_id", config: str = "simple") -> DataFrame:
+    """``key``, ``lexeme``, ``weight`` (summed over positions) and ``named`` (in a part A or B), for text columns with their part; ``config``: ``english`` stems words and drops its stopwords."""
     def spelled(column: str, part: str) -> Column:
         weight, named = F.lit(PART_WEIGHTS[part]), F.lit(part in "AB")
-        return F.transform(text.tokens(F.coalesce(F.col(column), F.lit(""))), lambda t: F.struct(t.alias("lexeme"), weight.alias("weight"), named.alias("named")))
+        return F.transform(text.lexemes(F.coalesce(F.col(column), F.lit("")), config), lambda t: F.struct(t.alias("lexeme"), weight.alias("weight"), named.alias("named")))
 
     rows = documents.select(key, F.explode(F.concat(*(spelled(c, p) for c, p in parts))).alias("p"))
     return rows.groupBy(key, F.col("p.lexeme").alias("lexeme")).agg(F.sum("p.weight").alias("weight"), F.max("p.named").alias("named"))
 
 
-def lexical(queries: DataFrame, index: DataFrame, k: int | None = scoring.PER_METHOD, key: str = "node_id") -> DataFrame:
-    """``query_id``, ``key``, ``score``: coverage of the query's lexemes by parts A and B, and density r / (r + 1) of matched weights."""
-    asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("_lexemes"))
-    spread = asked.select("query_id", F.size("_lexemes").alias("_n"), F.explode("_lexemes").alias("lexeme"))
-    met = spread.join(index, "lexeme").groupBy("query_id", key).agg(
+def lexical(queries: DataFrame, index: DataFrame, k: int | None = scoring.PER_METHOD, key: str = "node_id", pool: DataFrame | None = None, config: str = "simple") -> DataFrame:
+    """``query_id``, ``key``, ``score``: coverage of the query's lexemes by parts A and B, and density r / (r + 1) of matched weights.
+
+    With ``pool`` (query_id, key) only its pairs are scored, and none is cut.  ``config`` is that of the index.
+    """
+    asked = queries.select("query_id", F.array_distinct(text.lexemes(F.col("query"), config)).alias("_lexemes"))
+    asked = asked if pool is None else pool.select("query_id", key).distinct().join(asked, "query_id")
+    spread = asked.select("query_id", *([] if pool is None else [key]), F.size("_lexemes").alias("_n"), F.explode("_lexemes").alias("lexeme"))
+    met = spread.join(index, ["lexeme"] if pool is None else [key, "lexeme"]).groupBy("query_id", key).agg(
         F.round(F.sum("weight"), 6).alias("_r"), F.sum(F.col("named").cast("int")).alias("_named"), F.first("_n").alias("_n")
     )
     scored = met.select("query_id", key, scoring.lexical_score(F.col("_named") / F.col("_n"), F.col("_r") / (F.col("_r") + 1)).alias("score"))
-    return scored if k is None else cut(scored, ["query_id"], k, F.desc("score"), F.asc(key))
+    return scored if k is None or pool is not None else cut(scored, ["query_id"], k, F.desc("score"), F.asc(key))
 
 
-def trigram(queries: DataFrame, titles: DataFrame, k: int | None = scoring.PER_METHOD, threshold: float = scoring.FUZZY_THRESHOLD, key: str = "node_id", words: bool = False) -> DataFrame:
+def trigram(
+    queries: DataFrame, titles: DataFrame, k: int | None = scoring.PER_METHOD, threshold: float = scoring.FUZZY_THRESHOLD, key: str = "node_id", words: bool = False, pool: DataFrame | None = None
+) -> DataFrame:
     """``query_id``, ``key``, ``score`` of titles (key, title) similar to a query.
 
     Pairs are those that share a trigram: each side is spread into its trigrams, the common ones are counted by an
     equi-join, and the sizes of the sets, carried along, give the similarity.  With ``words`` also the similarity to
-    the best run of the other text, either way.
+    the best run of the other text, either way.  With ``pool`` (query_id, key) only its pairs are scored, and none is
+    cut: they meet by their ids and not by trigrams.
     """
     asked = queries.select("query_id", F.lower("query").alias("_q"), text.trigrams(F.col("query")).alias("_a"))
     known = titles.select(key, F.col("title").alias("_t"), text.trigrams(F.col("title")).alias("_b"))
-    left = asked.select("query_id", F.size("_a").alias("_na"), F.explode("_a").alias("_g"))
-    right = known.select(key, F.size("_b").alias("_nb"), F.explode("_b").alias("_g"))
-    met = left.join(right, "_g").groupBy("query_id", key).agg(F.count(F.lit(1)).alias("_n"), F.first("_na").alias("_na"), F.first("_nb").alias("_nb"))
-    scored = met.select("query_id", key, (F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n"))).alias("score"))
+    if pool is None:
+        left = asked.select("query_id", F.size("_a").alias("_na"), F.explode("_a").alias("_g"))
+        right = known.select(key, F.size("_b").alias("_nb"), F.explode("_b").alias("_g"))
+        met = left.join(right, "_g").groupBy("query_id", key).agg(F.count(F.lit(1)).alias("_n"), F.first("_na").alias("_na"), F.first("_nb").alias("_nb"))
+        scored = met.select("query_id", key, (F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n"))).alias("score"))
+        both = scored.join(asked.select("query_id", "_q"), "query_id").join(known.select(key, "_t"), key) if words else scored
+    else:
+        both = pool.select("query_id", key).distinct().join(asked, "query_id").join(known, key)
+        both = both.select("query_id", key, "_q", "_t", text.similarity(F.col("_a"), F.col("_b")).alias("score")).where("score > 0")
     if words:
-        both = scored.join(asked.select("query_id", "_q"), "query_id").join(known.select(key, "_t"), key)
         best = F.greatest("score", text.word_similarity("_q", "_t"), text.word_similarity("_t", "_q"))
-        scored = both.select("query_id", key, best.alias("score"))
-    scored = scored.where(F.col("score") >= threshold)
-    return scored if k is None else cut(scored, ["query_id"], k, F.desc("score"), F.asc(key))
+        both = both.withColumn("score", best)
+    scored = both.select("query_id", key, "score").where(F.col("score") >= threshold)
+    return scored if k is None or pool is not None else cut(scored, ["query_id"], k, F.desc("score"), F.asc(key))
+
 
+def source_terms(
+    queries: DataFrame, terms: DataFrame, entries: DataFrame, k: int | None = scoring.PER_METHOD, threshold: float = scoring.FUZZY_THRESHOLD, words: bool = False, pool: DataFrame | None = None
+) -> DataFrame:
+    """Best match of each node among ``terms`` (node_id, term) and ``entries`` (target_node_id, term): 1.0 for equal normalised text.
 
-def source_terms(queries: DataFrame, terms: DataFrame, entries: DataFrame, k: int | None = scoring.PER_METHOD, threshold: float = scoring.FUZZY_THRESHOLD, words: bool = False) -> DataFrame:
-    """Best match of each node among ``terms`` (node_id, term) and ``entries`` (target_node_id, term): 1.0 for equal normalised text."""
+    With ``pool`` (query_id, node_id) only its pairs are scored, and none is cut.
+    """
     pooled = terms.select("node_id", "term").unionByName(entries.where("target_node_id is not null").select(F.col("target_node_id").alias("node_id"), "term"))
     pooled = pooled.select("node_id", text.normalize_text(F.col("term")).alias("title")).distinct()
-    distinct = pooled.select("title").distinct()
+    titles = pooled.select("title").distinct()
     asked = queries.select("query_id", text.normalize_text(F.col("query")).alias("query"))
-    near = _similar_titles(asked, distinct, threshold, words)
+    pairs = None if pool is None else pool.select("query_id", "node_id").join(pooled, "node_id").select("query_id", F.col("title").alias("_key")).distinct()
+    near = trigram(asked, titles.select(F.col("title").alias("_key"), "title"), None, threshold, key="_key", words=words, pool=pairs)
+    equal = asked.join(titles, asked["query"] == titles["title"]).select("query_id", F.col("title").alias("_key"), F.lit(1.0).alias("score"))
+    near = near.unionByName(equal).withColumnRenamed("_key", "title")
     best = near.join(pooled, "title").groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
+    if pool is not None:
+        return best.join(pool, ["query_id", "node_id"], "left_semi")
     return best if k is None else cut(best, ["query_id"], k, F.desc("score"), F.asc("node_id"))
 
 
-def _similar_titles(asked: DataFrame, titles: DataFrame, threshold: float, words: bool) -> DataFrame:
-    near = trigram(asked, titles.select(F.col("title").alias("_key"), "title"), None, threshold, key="_key", words=words)
-    equal = asked.join(titles, asked["query"] == titles["title"]).select("query_id", F.col("title").alias("_key"), F.lit(1.0).alias("score"))
-    return near.unionByName(equal).select("query_id", F.col("_key").alias("title"), "score")
-
-
 def hierarchy_score(query_tokens: Column, ancestor_tokens: Column) -> Column:
     """Share of the query's words, but stopwords, among the words of the ancestors' titles, to four places."""
     asked = F.array_except(query_tokens, F.array(*map(F.lit, STOPWORDS)))
@@ -131,3 +146,12 @@ def fuse(queries: DataFrame, nodes: DataFrame, components: dict[str, DataFrame],
     first = [F.desc("exact")] if "exact" in names else []
     order = W.partitionBy("query_id").orderBy(*first, F.desc("hybrid"), F.asc("code"), F.asc("node_id"))
     return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k)
+
+
+def evidence(rows: DataFrame, keys: Sequence[str], most: int = 5) -> DataFrame:
+    """``keys`` and ``evidence``: the best ``most`` pieces (type, text, score), the highest score first, each type and text once."""
+    once = rows.groupBy(*keys, "type", "text").agg(F.max("score").alias("score"))
+    order = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "type", "text"))
+    placed = once.withColumn("place", order).where(F.col("place") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("place", "type", "text", "score")))
+    return placed.groupBy(*keys).agg(F.transform(listed, lambda e: F.struct(e["type"].alias("type"), e["text"].alias("text"), e["score"].alias("score"))).alias("evidence"))

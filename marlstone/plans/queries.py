@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, text, vectors
 from ..operators import annotate, catalog, evaluate, hierarchy, retrieval
+from ..scratch import cut
 from .tables import misspelt, part_nodes, table, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,9 +185,9 @@ def fused(spark: SparkSession, sf_dir: str, top_k: int = 5) -> DataFrame:
     pool = None
     for rows in generated.values():
         pool = rows.select("query_id", "node_id") if pool is None else pool.unionByName(rows.select("query_id", "node_id"))
-    pool = pool.distinct()
-    # every component again, for the whole pool and without cut or threshold
-    complete = {"exact": generated["exact"], "lexical": retrieval.lexical(asked, index, None).join(pool, ["query_id", "node_id"], "left_semi"), "fuzzy": retrieval.trigram(asked, titles, None, 0.0).join(pool, ["query_id", "node_id"], "left_semi")}
+    pool = cut(pool.distinct(), "pool")
+    # every component again, for the pairs of the pool and without cut or threshold
+    complete = {"exact": generated["exact"], "lexical": retrieval.lexical(asked, index, pool=pool), "fuzzy": retrieval.trigram(asked, titles, threshold=0.0, pool=pool)}
     named = nodes.select("node_id", "code", F.array_distinct(text.tokens(F.col("kind"))).alias("ancestor_tokens"))
     return retrieval.fuse(asked, named, complete, top_k).select("query_id", "node_id", "exact", "lexical", "fuzzy", "hierarchy", "hybrid", "place")
 

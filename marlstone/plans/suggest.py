@@ -39,8 +39,9 @@ def candidates(concepts: DataFrame, nodes: DataFrame, index: DataFrame, terms: D
     for rows in generated.values():
         found = rows.select("query_id", "node_id") if found is None else found.unionByName(rows.select("query_id", "node_id"))
     found = cut(found.distinct(), "pool")
-    whole = {"lexical": retrieval.lexical(asked, index, None), "fuzzy": retrieval.trigram(asked, titles, None, 0.0, words=True), "index_term": retrieval.source_terms(asked, terms, no_entries, None, 0.0, words=True)}
-    complete = {"exact": generated["exact"]} | {n: best(r).join(found, ["query_id", "node_id"], "left_semi") for n, r in whole.items()}
+    pairs = cut(found.withColumnRenamed("query_id", "_c").join(of, "_c").select("query_id", "node_id"), "pairs")
+    whole = {"lexical": retrieval.lexical(asked, index, pool=pairs), "fuzzy": retrieval.trigram(asked, titles, threshold=0.0, words=True, pool=pairs), "index_term": retrieval.source_terms(asked, terms, no_entries, threshold=0.0, words=True, pool=pairs)}
+    complete = {"exact": generated["exact"]} | {n: best(r) for n, r in whole.items()}
     above = closed.join(titles.withColumnRenamed("node_id", "ancestor"), "ancestor").groupBy(F.col("node").alias("node_id")).agg(F.array_distinct(F.flatten(F.collect_list(text.tokens(F.col("title"))))).alias("ancestor_tokens"))
     named = nodes.where("status = 'ACTIVE'").select("node_id", "code").join(above, "node_id", "left").withColumn("ancestor_tokens", F.coalesce("ancestor_tokens", F.array().cast("array<string>")))
     joined = concepts.select(F.col("concept_id").alias("query_id"), F.array_join("variants", " ").alias("query"))
