@@ -96,3 +96,13 @@ def version_diff(old: DataFrame, new: DataFrame, key: str = "code", compared: Se
         same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
     change = F.when(F.col("_ka").isNull(), "added").when(F.col("_kb").isNull(), "removed").when(~same, "changed")
     return a.join(b, F.col("_ka") == F.col("_kb"), "full_outer").select(F.coalesce("_ka", "_kb").alias(key), change.alias("change")).where("change is not null")
+
+
+def systems(datasets: DataFrame, system: str = "system") -> DataFrame:
+    """The distinct systems."""
+    return datasets.select(system).distinct()
+
+
+def get_many(rows: DataFrame, ids: DataFrame, key: str = "node_id") -> DataFrame:
+    """The rows whose key is among ``ids``."""
+    return rows.join(ids.select(key), key, "left_semi")
