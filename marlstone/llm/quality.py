@@ -1,8 +1,9 @@
 """Quality rules with thresholds that follow the data.
 
 One pass measures every text.  Mergeable KLL sketches of each measure are built per language and
-source; a group with few documents takes the sketches of its language merged, then those of all
-documents.  A measure's fence lies beyond the upper (or lower) quartile by ``SPREADS`` interquartile
+source, and merged by language and over all.  A group's fences are the mean of its own and its language's,
+weighted by its documents against ``PRIOR``, and its language's likewise with those of all, so they pass to
+the group's own smoothly as it grows, with no size from which a verdict turns.  A measure's fence lies beyond the upper (or lower) quartile by ``SPREADS`` interquartile
 ranges, or by the least margin of the measure where that is more, so a group whose texts are all alike
 loses none.  The documents are joined with their group's fences and filtered.
 
@@ -31,8 +32,8 @@ SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\v\f\r"
 #: Base rules: fewest words, most repeated words in a hundred.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: From so many documents on a group has fences of its own.
-OWN_FENCES_FROM = 200
+#: Documents of a group at which its own fences weigh as much as those of the larger group.
+PRIOR = 200
 SPREADS = 4.0
 #: Measure -> (upper fence's least margin, lower fence's or none).
 MARGINS: dict[str, tuple[float, float | None]] = {"symbol_ratio": (0.04, None), "dup_line_ratio": (0.4, None), "repeat_ratio": (0.25, None), "mean_word": (3.0, 2.0)}
@@ -121,8 +122,13 @@ def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
     own = sketched.select("_lang", "_source", "_n", F.struct(*_fences({m: F.col(m) for m in MARGINS})).alias("_own"))
     # one row, so the join cannot multiply
     chosen = own.join(by_lang, F.col("_lang").eqNullSafe(F.col("_l")), "left").join(F.broadcast(overall), F.lit(True), "left")
-    best = F.when(F.col("_n") >= OWN_FENCES_FROM, F.col("_own")).when(F.col("_ln") >= OWN_FENCES_FROM, F.col("_of_lang")).otherwise(F.col("_of_all"))
-    return chosen.select("_lang", "_source", best.alias("_f")).select("_lang", "_source", "_f.*")
+    weight = lambda n: F.col(n) / (F.col(n) + F.lit(float(PRIOR)))
+
+    def blended(name: str) -> Column:
+        of_lang = weight("_ln") * F.col(f"_of_lang.{name}") + (1 - weight("_ln")) * F.col(f"_of_all.{name}")
+        return (weight("_n") * F.col(f"_own.{name}") + (1 - weight("_n")) * of_lang).alias(name)
+
+    return chosen.select("_lang", "_source", *(blended(f"{m}_{end}") for m in MARGINS for end in ("most", "least")))
 
 
 def base_failed() -> Column:

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -40,6 +41,47 @@ def test_query(spark, sf_dir):
         assert not (r["base_failed"] and r["kept"])
 
 
+def brute_fences(rows):
+    """Rows (lang, source, measures) that pass the base rules -> (lang, source) -> measure -> least and most."""
+
+    def own(group):
+        out = {}
+        for m, (above, below) in quality.MARGINS.items():
+            values = sorted(r[2][m] for r in group)
+            low, high = (values[max(0, math.ceil(p * len(values)) - 1)] for p in (0.25, 0.75))
+            spread = (high - low) * quality.SPREADS
+            out[m] = (low - max(spread, below) if below is not None else -math.inf, high + max(spread, above))
+        return out
+
+    def mixed(n, a, b):
+        w = n / (n + quality.PRIOR)
+        return {m: tuple(w * x + (1 - w) * y for x, y in zip(a[m], b[m], strict=True)) for m in a}
+
+    every, out = own(rows), {}
+    for place in {r[:2] for r in rows}:
+        of_lang, of_group = [r for r in rows if r[0] == place[0]], [r for r in rows if r[:2] == place]
+        out[place] = mixed(len(of_group), own(of_group), mixed(len(of_lang), own(of_lang), every))
+    return out
+
+
+def test_verdicts_against_exact_quantiles(spark, sf_dir):
+    docs = queries.documents(spark, sf_dir).collect()
+    rows = {}
+    for r in docs:
+        n_words, chars, symbols, lines, dup, repeated = quality.counts(r["text"])
+        share = lambda a, b: a / b if b else 0.0
+        measures = {"symbol_ratio": share(symbols, chars), "dup_line_ratio": share(dup, lines), "repeat_ratio": share(repeated, n_words), "mean_word": share(chars, n_words)}
+        rows[r["doc_id"]] = (r["lang"], r["source"], measures, n_words < 50 or 100 * repeated > 50 * n_words)
+    fences = brute_fences([r[:3] for r in rows.values() if not r[3]])
+    wrong = []
+    for r in queries.op4(spark, sf_dir).collect():
+        lang, source, measures, failed = rows[r["doc_id"]]
+        inside = not failed and all(a <= measures[m] <= b for m, (a, b) in fences[lang, source].items())
+        if r["kept"] != inside:
+            wrong.append(r["doc_id"])
+    assert len(wrong) <= len(rows) * 0.005  # a sketch's rank may be off by one where values lie close
+
+
 def test_labelled_rows(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     kept = {r["doc_id"]: r["kept"] for r in queries.op4(spark, sf_dir).collect() if not r["base_failed"]}

@@ -1,7 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from marlstone.llm import queries, shards
@@ -21,6 +24,22 @@ def test_query(spark, sf_dir):
     assert any(r["grown_shard"] == 24 for r in rows)
 
 
+def brute_shard(key, weights):
+    """The shard with the highest score; a key is hashed as 8 bytes, a shard as 4 with that hash as the seed."""
+    of_key = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    drawn = [((xxhash.xxh64_intdigest(struct.pack("<i", i), of_key) >> 11) + 0.5) / 2**53 for i in range(len(weights))]
+    scores = [-w / math.log(d) for w, d in zip(weights, drawn, strict=True)]
+    return scores.index(max(scores))
+
+
+def test_shards_against_brute_force(spark, sf_dir):
+    for r in queries.op2(spark, sf_dir).collect():
+        assert (r["shard"], r["grown_shard"]) == (brute_shard(r["doc_id"], [1.0] * 24), brute_shard(r["doc_id"], [1.0] * 25))
+    weights = [0.5, 2.0, 1.0, 7.0]
+    for r in spark.range(-200, 500).select("id", shards.shard_of(F.col("id"), weights).alias("shard")).collect():
+        assert r["shard"] == brute_shard(r["id"], weights)
+
+
 def test_weights_and_growth(spark):
     keys = spark.range(40_000).withColumnRenamed("id", "doc_id")
     weights = [1.0, 2.0, 1.0]
