@@ -42,7 +42,7 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?>[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,128}+(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])",
     "contact": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ (?:at|\(at\)|\[at\]) [A-Za-z0-9-]{1,64}+ (?:dot|\(dot\)|\[dot\]) [A-Za-z]{2,16}"
     r"|(?<!\+[0-9]{1,3}[\x20.-]?)(?<![0-9(+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
@@ -56,7 +56,7 @@ _OCTETS = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
 CARD_PREFIXES = ("3", "4", "5", "6")
 CALLING_CODES = ("1", "33", "34", "44", "49")
-SECRET_LENGTHS = (32, 40, 56, 64, 96, 128)
+SECRET_LENGTHS = (32, 40, 56, 64, 96, 128, 256, 512, 1024)
 WORDS_BEFORE = {
     "email": ("mail", "contact", "write", "address"),
     "ip": ("ip", "host", "server", "address"),

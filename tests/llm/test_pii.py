@@ -107,3 +107,10 @@ def test_odd_rows(odd, empty):
 def test_long_runs_do_not_recurse(make, size):
     docs = make(["1" * size, "1 " * size, "a." * size + "@", "x@" + "a." * size, "+" + "1" * size, "1.1." * (size // 2)])
     assert [r["s"] for r in base_of(docs).orderBy("doc_id").collect()] == [",".join(brute(r["text"])) for r in docs.orderBy("doc_id").collect()]
+
+
+def test_long_keys_are_secrets_too(make):
+    docs = make(["password = " + "a1b2c3d4" * 32 + " end", "x"])
+    found = pii.find(docs, pii.train(docs))
+    spans = {r["doc_id"]: r["s"] for r in found.select("doc_id", pii.joined(pii.F.col("added")).alias("s")).collect()}
+    assert spans == {0: "secret:11:267", 1: ""}
