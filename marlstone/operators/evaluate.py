@@ -79,9 +79,14 @@ def first_failure(rows: DataFrame, keys: Sequence[str], stages: Sequence[str]) -
     return rows.where(order > 0).groupBy(*keys).agg(F.min_by("stage", order).alias("stage"))
 
 
+def singular(word: Column) -> Column:
+    """A word of over three letters without its final s."""
+    return F.regexp_replace(word, "^(.{3,})s$", "$1")
+
+
 def concept_similarity(expected: Column, found: Column, most_context: int = 3) -> Column:
-    """Jaccard of word stems, or containment of the expected words where there are few others."""
-    a, b = text.stems(expected), text.stems(found)
+    """Jaccard of the words, without a final s, or containment of the expected ones where there are few others."""
+    a, b = (F.array_distinct(F.transform(text.tokens(t), singular)) for t in (expected, found))
     common = F.size(F.array_intersect(a, b))
     jaccard = common / F.size(F.array_union(a, b))
     within = F.when(F.size(F.array_except(b, a)) <= most_context, common / F.size(a)).otherwise(F.lit(0.0))

@@ -118,7 +118,7 @@ def hierarchy_score(query_tokens: Column, ancestor_tokens: Column) -> Column:
     return F.when(F.size(asked) > 0, F.round(F.size(F.array_intersect(asked, ancestor_tokens)) / F.size(asked), 4)).otherwise(F.lit(0.0))
 
 
-def fuse(queries: DataFrame, nodes: DataFrame, components: dict[str, DataFrame], top_k: int = 20, filters: Column | None = None, weights: dict[str, float] = scoring.WEIGHTS, threshold: float = scoring.FUZZY_THRESHOLD) -> DataFrame:
+def fuse(queries: DataFrame, nodes: DataFrame, components: dict[str, DataFrame], top_k: int | None = 20, filters: Column | None = None, weights: dict[str, float] = scoring.WEIGHTS, threshold: float = scoring.FUZZY_THRESHOLD) -> DataFrame:
     """One row for each query and node of the pool with all components, ``hybrid`` and ``place``.
 
     ``components``: name -> (query_id, node_id, score) over the whole pool; a name left out is unavailable and its
@@ -145,7 +145,8 @@ def fuse(queries: DataFrame, nodes: DataFrame, components: dict[str, DataFrame],
     ranked = pool.withColumn("hybrid", scoring.hybrid_score(scores, weights))
     first = [F.desc("exact")] if "exact" in names else []
     order = W.partitionBy("query_id").orderBy(*first, F.desc("hybrid"), F.asc("code"), F.asc("node_id"))
-    return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k)
+    placed = ranked.withColumn("place", F.row_number().over(order))
+    return placed if top_k is None else placed.where(F.col("place") <= top_k)
 
 
 def evidence(rows: DataFrame, keys: Sequence[str], most: int = 5) -> DataFrame:

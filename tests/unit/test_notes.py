@@ -2,7 +2,7 @@ import pytest
 
 from marlstone.functions import local, scoring, text, vectors
 from marlstone.operators import annotate, coding, hierarchy, index, lifecycle, normalize, retrieval
-from marlstone.plans.suggest import suggest
+from marlstone.plans.suggest import assemble, trace
 from marlstone.scratch import cut
 from marlstone.sources import Manifest, read_rows
 from pyspark.sql import functions as F
@@ -97,7 +97,8 @@ def test_suggestions_end_to_end(spark, tmp_path):
     notes = spark.createDataFrame(
         [(1, "Worn left gear train"), (2, "No worn gear train. Lost winding key"), (3, "BMS, broken mainspring"), (4, "stripped wheel teeth"), (5, "entirely unrelated words"), (6, None), (7, "A01.1")], "note_id long, text string"
     )
-    out = suggest(notes, table, postings, by_id(terms).select("node_id", "term", "term_type"), by_id(rules).select("node_id", "rule_type", "rule_text", "target_code"), closed)
+    stages = trace(notes, table, postings, by_id(terms).select("node_id", "term", "term_type"), by_id(rules).select("node_id", "rule_type", "rule_text", "target_code"), closed)
+    out = stages["suggestions"]
     first = {(r["note_id"], r["text"]): r for r in out.where("place = 1").collect()}
     # a side counts only before a part of the body, so the detail of A00.0 is not documented and its category is taken
     left = first[1, "Worn left gear train"]
@@ -108,6 +109,15 @@ def test_suggestions_end_to_end(spark, tmp_path):
     assert first[2, "Lost winding key"]["code"] == "B11" and (2, "worn gear train") not in first
     assert first[3, "broken mainspring"]["code"] == "A01" and first[4, "stripped wheel teeth"]["code"] == "A00"
     assert not {n for n, _ in first} & {5, 6}
+    shown = {(r["note_id"], r["text"]): r for r in assemble(stages, table).collect()}
+    # the record that was given up for its category comes first among the others, with what it would need
+    other = shown[1, "Worn left gear train"]["alternatives"][0]
+    assert (other["place"], other["code"], other["reason"]) == (1, "A00.0", "More specific code; requires documentation of: laterality")
+    assert [(e["type"], e["text"]) for e in shown[4, "stripped wheel teeth"]["evidence"]][:2] == [("clinical_text", "stripped wheel teeth"), ("inclusion_term", "stripped wheel teeth")]
+    assert shown[3, "broken mainspring"]["warning"] and shown[2, "Lost winding key"]["warning"] is None
+    # A00 excludes a broken mainspring and names A01.1, which is judged as well wherever A00 was a candidate
+    rejected = stages["judged"].where("note_id = 3 AND code = 'A00'").select("rule_status", "redirects").collect()
+    assert all(r["rule_status"] == "rejected" and r["redirects"] == ["A01.1"] for r in rejected)
     embedded = cut(index.embed_changed(docs, None), "vectors")
     assert embedded.count() == 11 and index.embed_changed(docs, embedded).count() == 0
     assert index.availability(embedded, docs, index.HASHING) == "ok" and index.availability(embedded.limit(3), docs, index.HASHING) == "incomplete_index"

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from marlstone.plans import operator_queries  # noqa: F401  registers its queries
+from marlstone.plans import audit_queries, operator_queries  # noqa: F401  they register queries
 from marlstone.plans import queries as plans
 
 
