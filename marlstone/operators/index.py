@@ -100,6 +100,17 @@ def embed_changed(docs: DataFrame, stored: DataFrame | None, space: Space = HASH
     return rows.select("node_key", "identity_hash", vector.alias("embedding"), F.lit(space.provider).alias("provider"), F.lit(space.model).alias("model"), F.lit(space.dimension).alias("dimension"), F.lit(space.normalized).alias("normalized"))
 
 
+def embed_stats(docs: DataFrame, stored: DataFrame | None, space: Space = HASHING) -> DataFrame:
+    """What :func:`embed_changed` would do, in one row: documents, embedded, skipped_unchanged, skipped_empty; a null text is empty."""
+    rows = docs.select("node_key", (F.trim(F.coalesce("semantic_text", F.lit(""))) == "").alias("_empty"), identity(space, F.col("semantic_text")).alias("identity_hash"))
+    there = rows.withColumn("_there", F.lit(False))
+    if stored is not None:
+        known = stored.select("node_key", "identity_hash", F.lit(True).alias("_known")).distinct()
+        there = rows.join(known, ["node_key", "identity_hash"], "left").withColumn("_there", F.coalesce("_known", F.lit(False)))
+    empty, known = F.col("_empty"), F.col("_there")
+    return there.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~empty & ~known).alias("embedded"), F.count_if(~empty & known).alias("skipped_unchanged"), F.count_if(empty).alias("skipped_empty"))
+
+
 def availability(embedded: DataFrame, docs: DataFrame, space: Space | None, required: bool = False) -> str:
     """Whether vectors may be used: ok, disabled, not_indexed or incomplete_index; where required, anything but ok is an error."""
     if space is None:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, coding, evaluate, retrieval
+from ..operators import audit, coding, evaluate, hierarchy, index, presentation, retrieval
 from .queries import _FUSED, _NORM, query
-from .tables import misspelt, part_nodes, table
+from .tables import misspelt, part_nodes, table, tree
 
 _PAIRS = """pairs AS (
   SELECT a.l_orderkey AS case_id, a.l_linenumber AS i, b.l_linenumber AS j, (a.l_partkey * 7 + b.l_suppkey * 13) % 11 / 10 AS score
@@ -169,3 +169,45 @@ def alternative_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = c.where("tier = 1").withColumns({"supported": F.col("at") % 2 == 0, "missing": F.array(F.lit("stage"), F.lit("side"))})
     aimed = c.where("tier = 2").withColumns({"code": F.lit("A00"), "target_code": F.lit("B10")})
     return coding.alternatives(final, c.where("tier = 0").withColumn("reason", F.lit("first")), accepted, aimed, top_k=2)
+
+
+@query("""
+WITH n AS (SELECT c_nationkey AS dataset_id, c_mktsegment AS level, count(*) AS n FROM customer GROUP BY ALL),
+r AS (SELECT s_nationkey AS dataset_id, s_suppkey AS run_id, s_acctbal AS started_at FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) = 1)
+SELECT n_nationkey AS dataset_id, coalesce(string_agg(level || '=' || n.n, ',' ORDER BY level), '') AS counts, any_value(run_id) AS run_id
+FROM nation LEFT JOIN n ON n.dataset_id = n_nationkey LEFT JOIN r ON r.dataset_id = n_nationkey GROUP BY n_nationkey""")
+def dataset_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets with their records by level and their latest run."""
+    datasets = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("dataset_id"), "n_name")
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("dataset_id"), F.col("c_mktsegment").alias("level"))
+    runs = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("dataset_id"), F.col("s_suppkey").alias("run_id"), F.lit("COMPLETED").alias("status"), F.col("s_acctbal").alias("started_at"), *(F.lit(None).alias(c) for c in presentation.RUN[3:]))
+    counts = F.array_join(F.transform(F.map_entries("record_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return presentation.dataset_details(datasets, nodes, runs).select("dataset_id", counts.alias("counts"), F.col("latest_ingestion.run_id").alias("run_id"))
+
+
+@query("""
+WITH t AS (SELECT o_custkey + 1000 AS node_id, o_orderstatus AS s, o_orderkey AS pos, o_orderpriority AS term FROM orders),
+g AS (SELECT node_id, string_agg(term, '|' ORDER BY pos, term) FILTER (WHERE s = 'F') AS inclusions, string_agg(term, '|' ORDER BY pos, term) FILTER (WHERE s = 'O') AS synonyms, count(*) FILTER (WHERE s = 'P') AS n_exclusions,
+  string_agg('note:' || term, '|' ORDER BY pos, term) FILTER (WHERE s = 'F') AS instructions FROM t GROUP BY node_id),
+p AS (SELECT c_custkey + 1000 AS node_id, r_name || '>' || n_name AS path FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT n_nationkey + 100, r_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_regionkey, '' FROM region)
+SELECT node_id, path, coalesce(inclusions, '') AS inclusions, coalesce(synonyms, '') AS synonyms, coalesce(n_exclusions, 0)::integer AS n_exclusions, coalesce(instructions, '') AS instructions FROM p LEFT JOIN g USING (node_id)""")
+def record_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the path to them, their terms and their rules."""
+    nodes = tree(spark, sf_dir).withColumns({"code": F.lit(None).cast("string"), "level": F.lit("CATEGORY")})
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 1000).alias("node_id"), "o_orderstatus", F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("said"))
+    terms = orders.select("node_id", F.expr("decode(o_orderstatus, 'F', 'INCLUSION', 'O', 'SYNONYM', 'OTHER')").alias("term_type"), F.col("said").alias("term"), "at")
+    rules = orders.where("o_orderstatus <> 'O'").select("node_id", F.expr("IF(o_orderstatus = 'P', 'EXCLUDE', 'NOTE')").alias("rule_type"), F.col("said").alias("rule_text"), F.lit(None).cast("string").alias("target_code"), "at")
+    entries = orders.select("node_id", F.col("said").alias("lead_term"), "at")
+    shown = presentation.records(nodes, hierarchy.closure(nodes), terms, rules, entries, {"NOTE": "note"})
+    listed = F.array_join(F.transform("instructions", lambda r: F.concat_ws(":", r["type"], r["text"])), "|")
+    return shown.select("node_id", F.array_join("hierarchy.title", ">").alias("path"), F.array_join("inclusions", "|").alias("inclusions"), F.array_join("synonyms", "|").alias("synonyms"), F.size("exclusions").alias("n_exclusions"), listed.alias("instructions"))
+
+
+@query("SELECT count(*) AS documents, count(*) FILTER (WHERE coalesce(trim(text, ' '), '') <> '' AND doc_id % 3 <> 0) AS embedded, count(*) FILTER (WHERE coalesce(trim(text, ' '), '') <> '' AND doc_id % 3 = 0) AS skipped_unchanged, count(*) FILTER (WHERE coalesce(trim(text, ' '), '') = '') AS skipped_empty FROM documents")
+def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an embedding run does, where a third of the documents has its vectors and another third has those of other texts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_key"), F.col("text").alias("semantic_text"))
+    made_of = F.when(F.col("node_key") % 3 == 0, F.col("semantic_text")).otherwise(F.concat("semantic_text", F.lit("!")))
+    stored = docs.where("node_key % 3 < 2").select("node_key", index.identity(index.HASHING, made_of).alias("identity_hash"))
+    return index.embed_stats(docs, stored)
