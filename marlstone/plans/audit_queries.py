@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, coding, evaluate, hierarchy, index, presentation, retrieval
-from .queries import _FUSED, _NORM, query
+from .queries import _FUSED, _NORM, PART_TEXTS, query
 from .tables import misspelt, part_nodes, table, tree
 
 _PAIRS = """pairs AS (
@@ -118,8 +118,7 @@ FROM modes CROSS JOIN asked2 LEFT JOIN found USING (mode, query_id) GROUP BY mod
 def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank of the wanted record in the list of each mode, and recall by mode."""
     asked, nodes = misspelt(spark, sf_dir), part_nodes(spark, sf_dir)
-    index = retrieval.postings(nodes, [("title", "A"), ("kind", "C")])
-    modes = {"lexical": retrieval.lexical(asked, index), "fuzzy": retrieval.trigram(asked, nodes.select("node_id", "title"))}
+    modes = {"lexical": retrieval.lexical_documents(asked, nodes, PART_TEXTS), "fuzzy": retrieval.trigram(asked, nodes.select("node_id", "title"))}
     return evaluate.ranks_summary(audit.mode_ranks(modes, asked.select("query_id", F.col("query_id").alias("node_id"))), ["mode"])
 
 
