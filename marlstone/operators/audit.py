@@ -125,10 +125,25 @@ def unsupported_specificity(title: Column, parent: Column, evidence: Column, ter
 
     Nothing without a parent, for a title that is unspecified, or where the evidence holds one of the record's ``terms``.
     """
-    evidence = F.coalesce(evidence, F.lit(""))
-    low, under, said, clause = F.lower(title), F.lower(parent), text.tokens(evidence), text.normalize_text(evidence)
-    above, stated = _singular(text.tokens(parent)), _singular(said)
-    added = F.filter(text.tokens(title), lambda w: ~F.array_contains(above, evaluate.singular(w)))
+    none = F.array().cast("array<string>")
+
+    def read(title: Column, parent: Column, evidence: Column, terms: Column) -> Column:
+        return text.once(partial(unless_silent, title, parent, evidence, terms), F.lower(title), text.normalize_text(evidence))
+
+    def unless_silent(title: Column, parent: Column, evidence: Column, terms: Column, low: Column, clause: Column) -> Column:
+        cited = F.exists(terms, lambda t: text.once(lambda n: (n != "") & F.contains(clause, n), text.normalize_text(t)))
+        silent = parent.isNull() | low.rlike(r"\b(unspecified|nos)\b") | F.coalesce(cited, F.lit(False))
+        return F.when(silent, none).otherwise(text.once(partial(worded, title, evidence, low), F.lower(parent), text.words(clause), _singular(text.tokens(parent))))
+
+    def worded(title: Column, evidence: Column, low: Column, under: Column, said: Column, above: Column) -> Column:
+        added = F.filter(text.tokens(title), lambda w: ~F.array_contains(above, evaluate.singular(w)))
+        return text.once(partial(_open_details, evidence, low, under, said), added, F.lower(evidence), _singular(said))
+
+    return text.once(read, title, parent, F.coalesce(evidence, F.lit("")), terms)
+
+
+def _open_details(evidence: Column, low: Column, under: Column, said: Column, added: Column, heard: Column, stated: Column) -> Column:
+    """The details of :func:`unsupported_specificity`, of columns that are computed: ``low`` title, ``under`` parent and ``heard`` evidence in lower case, the words ``said``, ``stated`` (singular) and ``added`` by the title."""
     none = F.array().cast("array<string>")
     told = lambda name, details: F.transform(details, lambda d: F.concat(F.lit(name + ": "), d))
     out = []
@@ -146,10 +161,10 @@ def unsupported_specificity(title: Column, parent: Column, evidence: Column, ter
         out.append(told(name, open_words))
     digits = F.create_map(*(F.lit(x) for pair in ROMAN.items() for x in pair))
     number = lambda n: F.coalesce(F.try_element_at(digits, n), n)
-    kinds = F.transform(F.regexp_extract_all(F.lower(evidence), F.lit(TYPE_SAID), 1), number)
+    kinds = F.transform(F.regexp_extract_all(heard, F.lit(TYPE_SAID), 1), number)
     for word, kind in TYPE_ABBREVIATIONS.items():
         kinds = F.concat(kinds, F.when(F.array_contains(said, word), _words([kind])).otherwise(none))
-    stages = F.regexp_extract_all(F.lower(evidence), F.lit(STAGE), 1)
+    stages = F.regexp_extract_all(heard, F.lit(STAGE), 1)
     for name, shape, known, spelled in (("subtype", TYPE, kinds, number), ("stage", STAGE, stages, lambda n: n)):
         wanted = F.transform(F.slice(F.regexp_extract_all(low, F.lit(shape), 1), 1, 1), spelled)
         out.append(F.when(under.rlike(shape), none).otherwise(told(name, F.array_except(wanted, known))))
@@ -164,9 +179,7 @@ def unsupported_specificity(title: Column, parent: Column, evidence: Column, ter
             open_phrases = F.filter(new, lambda p: ~here(p))
         spelled = F.transform(open_phrases, partial(_after, name))
         out.append(told("cause" if name == "due to" else "complication", spelled))
-    cited = F.exists(terms, lambda t: (text.normalize_text(t) != "") & F.contains(clause, text.normalize_text(t)))
-    silent = parent.isNull() | low.rlike(r"\b(unspecified|nos)\b") | F.coalesce(cited, F.lit(False))
-    return F.when(silent, none).otherwise(F.concat(*out))
+    return F.concat(*out)
 
 
 def audit_confidence(rows: DataFrame) -> DataFrame:
